@@ -21,6 +21,7 @@ NOT_ALNUM = bytes(b for b in range(128) if not chr(b).isalnum())
 
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+np.seterr(over="ignore")
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -106,6 +107,17 @@ class Words:
         powers = np.multiply.accumulate(powers)
         return mix(np.add.reduceat(_MIX[letters] * powers[place], first))
 
+    def prefixes(self, longest: int) -> list[np.ndarray]:
+        """Hashes of each word's first 1, 2, ... ``longest`` bytes (all of a shorter word)."""
+        lengths, power = self.ends - self.starts, np.uint64(1)
+        total, out = np.zeros(len(lengths), np.uint64), []
+        for k in range(longest):
+            inside = np.minimum(self.starts + k, max(len(self.data) - 1, 0))
+            total = total + np.where(lengths > k, _MIX[self.data[inside]] * power, np.uint64(0))
+            power = power * _ODD
+            out.append(mix(total + np.uint64(k + 1)))
+        return out
+
     def doc_of(self) -> np.ndarray:
         """The text each word belongs to."""
         return np.repeat(np.arange(len(self.counts)), self.counts)

@@ -1,6 +1,6 @@
 """Operator 6, toxicity: non-negative positive-unlabelled learning of a linear classifier.
 
-The classifier reads which words (lower case, stripped of punctuation, hashed) a whole text holds. It is trained on the
+The classifier reads how often a whole text holds words and beginnings of words (lower case, hashed). It is trained on the
 driver from a bounded sample of confirmed toxic documents and a bounded sample of unlabelled text: the risk is
 
     prior * risk_p(+) + max(0, risk_u(-) - prior * risk_p(-))
@@ -27,16 +27,26 @@ from tidemark.llm.textkit import NOT_ALNUM, Words, lower_ascii, map_slices, raw_
 # Most rows of each kind that reach the driver: confirmed toxic, unlabelled, and labelled for the curve.
 SAMPLE = 4096
 BUCKETS = 1 << 20
-MIN_DOCS = 8
+BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)  # bytes
+MIN_Z = 5.0
 THRESHOLD = 0.3
 
 
-def buckets(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of each distinct (text, word) of a slice."""
+def buckets(piece: pa.RecordBatch, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and logarithm of the count of each text's words and word beginnings; ``use`` marks the buckets wanted."""
     data, bounds = raw_bytes(text_of(piece))
     words = Words(lower_ascii(data), bounds, NOT_ALNUM)
-    keys = np.unique(words.doc_of() * BUCKETS + (words.hash % np.uint64(BUCKETS)).astype(np.int64))
-    return keys // BUCKETS, keys % BUCKETS
+    doc, lengths = words.doc_of(), words.ends - words.starts
+    keys = []
+    for hashes, fits in [(words.hash, slice(None)), *((h, lengths > k) for k, h in enumerate(words.prefixes(BEGINNINGS[-1]), 1) if k in BEGINNINGS)]:
+        bucket = (hashes[fits] % np.uint64(BUCKETS)).astype(np.int64)
+        if use is None:
+            keys.append(doc[fits] * BUCKETS + bucket)
+        else:
+            wanted = use[bucket]
+            keys.append(doc[fits][wanted] * BUCKETS + bucket[wanted])
+    keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+    return keys // BUCKETS, keys % BUCKETS, np.log1p(counts)
 
 
 @dataclass
@@ -46,49 +56,68 @@ class Classifier:
     slope: float = 1.0
     shift: float = 0.0
 
-    def margin(self, rows: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(rows, self.weights[features], n) + self.bias
+    def __post_init__(self):
+        self.use = self.weights != 0
 
-    def score(self, rows: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(rows, features, n) + self.shift, -30, 30)))
+    def margin(self, rows: np.ndarray, features: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(rows, self.weights[features] * values, n) + self.bias
 
+    def score(self, piece: pa.RecordBatch) -> np.ndarray:
+        margin = self.margin(*buckets(piece, self.use), piece.num_rows)
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, l2: float = 1e-4, min_docs: int = MIN_DOCS) -> Classifier:
-    """Full-batch Adam on the non-negative risk with the logistic loss. Words of fewer than ``min_docs`` samples weigh nothing."""
-    docs = [*positive, *unlabelled]
-    flat = np.concatenate(docs)
-    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    frequent = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= min_docs)
+
+Vector = tuple[np.ndarray, np.ndarray]  # buckets and values of one text
+
+
+def stack(docs: list[Vector]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.repeat(np.arange(len(docs)), [len(f) for f, _ in docs])
+    return rows, np.concatenate([f for f, _ in docs]), np.concatenate([v for _, v in docs])
+
+
+def fit_nnpu(positive: list[Vector], unlabelled: list[Vector], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-3, min_z: float = MIN_Z) -> Classifier:
+    """Full-batch Adam on the non-negative risk with the logistic loss.
+
+    Only features that are more frequent in confirmed toxic than in unlabelled text, by ``min_z`` standard errors, have weights.
+    """
+    n_p, n = len(positive), len(positive) + len(unlabelled)
+    rows, flat, values = stack([*positive, *unlabelled])
+    in_p = np.bincount(flat[rows < n_p], minlength=BUCKETS)
+    in_u = np.bincount(flat[rows >= n_p], minlength=BUCKETS)
+    share = (in_p + in_u) / n
+    error = np.sqrt(share * (1 - share) * (1 / n_p + 1 / (n - n_p))) + 1e-12
+    chosen = np.flatnonzero(((in_p / n_p - in_u / (n - n_p)) / error >= min_z) & (in_p >= 3))
     slot = np.full(BUCKETS, -1)
-    slot[frequent] = np.arange(len(frequent))
+    slot[chosen] = np.arange(len(chosen))
     use = slot[flat] >= 0
-    rows, columns = rows[use], slot[flat[use]]
-    n_p, n = len(positive), len(docs)
-    w, bias = np.zeros(len(frequent)), float(np.log(prior / (1 - prior)))
+    rows, columns, values = rows[use], slot[flat[use]], values[use]
+    w, bias = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(rows, w[columns], n) + bias
+        z = np.bincount(rows, w[columns] * values, n) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         loss_minus = np.logaddexp(0, z)
         negative = loss_minus[n_p:].mean() - prior * loss_minus[:n_p].mean()
-        sign = 1.0 if negative >= 0 else -1.0
-        push = np.empty(n)
-        push[:n_p] = prior * ((p[:n_p] - 1) * (sign > 0) - sign * p[:n_p]) / n_p
-        push[n_p:] = sign * p[n_p:] / (n - n_p)
-        gradient = np.append(np.bincount(columns, push[rows], len(w)) + l2 * w, push.sum())
+        push = np.zeros(n)
+        if negative >= 0:  # the whole risk
+            push[:n_p] = prior * ((p[:n_p] - 1) - p[:n_p]) / n_p
+            push[n_p:] = p[n_p:] / (n - n_p)
+        else:  # back out of the overfitted negative part
+            push[:n_p] = prior * p[:n_p] / n_p
+            push[n_p:] = -p[n_p:] / (n - n_p)
+        gradient = np.append(np.bincount(columns, push[rows] * values, len(w)) + l2 * w, push.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - float(move[-1])
     weights = np.zeros(BUCKETS)
-    weights[frequent] = w
+    weights[chosen] = w
     return Classifier(weights, bias)
 
 
-def fit_curve(model: Classifier, docs: list[np.ndarray], y: np.ndarray, steps: int = 50) -> None:
+def fit_curve(model: Classifier, docs: list[Vector], y: np.ndarray, steps: int = 50) -> None:
     """Newton steps of a logistic curve from margins to labels, with a little shrinkage."""
-    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    z = model.margin(rows, np.concatenate(docs), len(docs))
+    z = model.margin(*stack(docs), len(docs))
     center, spread = float(z.mean()), float(z.std()) or 1.0
     x = np.column_stack([(z - center) / spread, np.ones(len(z))])
     theta = np.array([1.0, 0.0])
@@ -132,18 +161,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     kinds = toxic.unionByName(curve).unionByName(free).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "").alias("kind"))  # 3 * sample rows at most
 
     def features(piece: pa.RecordBatch) -> pa.RecordBatch:
-        rows, found = buckets(piece)
+        rows, found, values = buckets(piece)
         bounds = np.searchsorted(rows, np.arange(piece.num_rows + 1))
-        raw = [found[a:b].astype("<i4").tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        raw = [found[a:b].astype("<i4").tobytes() + values[a:b].astype("<f4").tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("kind"), pa.array(raw, pa.binary())], ["doc_id", "kind", "raw"])
 
     chosen = map_slices(_plain(docs).join(F.broadcast(kinds), "doc_id"), features, "doc_id long, kind string, raw binary")
     table = sorted({tuple(r) for r in zip(*(c.to_pylist() for c in chosen.toArrow().columns), strict=True)})
-    vectors = [np.frombuffer(raw, "<i4").astype(np.int64) for *_, raw in table]
+    vectors = [(np.frombuffer(raw[: len(raw) // 2], "<i4").astype(np.int64), np.frombuffer(raw[len(raw) // 2 :], "<f4").astype(float)) for *_, raw in table]
     of = lambda kind: [v for (_, k, _), v in zip(table, vectors, strict=True) if kind in k]
     if not of("p") or not of("u"):
         return None
-    model = fit_nnpu(of("p"), of("u"), prior, min_docs=min(MIN_DOCS, max(2, len(of("p")) // 4)))
+    model = fit_nnpu(of("p"), of("u"), prior)
     marked = of("0") + of("1")
     if marked:
         fit_curve(model, marked, np.array([0.0] * len(of("0")) + [1.0] * len(of("1"))))
@@ -155,7 +184,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     model = train(docs, labels)
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        score = model.score(*buckets(piece), piece.num_rows) if model else np.zeros(piece.num_rows)
+        score = model.score(piece) if model else np.zeros(piece.num_rows)
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return map_slices(_plain(docs).withColumn("held_out", held_out()), run, "doc_id long, held_out boolean, score double, predicted int")
@@ -168,7 +197,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, documents: DataFrame, thresho
         return docs
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        keep = model.score(*buckets(piece), piece.num_rows) < threshold
+        keep = model.score(piece) < threshold
         return piece.filter(pa.array(keep))
 
     return map_slices(docs, run, docs.schema)
