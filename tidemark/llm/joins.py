@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +37,10 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder, with their lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as compressed Parquet to the shared checkpoint folder and read again: for wide rows."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, licences, mixing, packing, quality, token_counts, toxicity, warc
+from tidemark.llm import exact_dedup, licences, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity, warc
 
 # Target weights of the mixing query; other sources keep their share.
 WEIGHTS = {"src0": 0.15, "src1": 0.10, "src2": 0.10, "src3": 0.05}
@@ -32,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_digest(table(spark, sf_dir, "pages"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licence_scan, op2_quality_rules, op3_source_mixing, op4_exact_dedup, op6_toxicity, op7_warc, op9_packing, op10_token_counts)
+    f.__name__: f for f in (op1_licence_scan, op2_quality_rules, op3_source_mixing, op4_exact_dedup, op5_substring_dedup, op6_toxicity, op7_warc, op8_near_dedup, op9_packing, op10_token_counts)
 }
 
 ORACLE: dict[str, str] = {

@@ -190,7 +190,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     return map_slices(_plain(docs).withColumn("held_out", held_out()), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, documents: DataFrame, threshold: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that score below ``threshold``, unchanged; the classifier is trained on ``documents``."""
     model = train(documents, labels)
     if model is None:
