@@ -564,3 +564,92 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([("HTTPFeed",), ("OrderStream",), ("plain",)], "name string")
     return names.select("name", scalars.kebab_case_column(F.col("name")).alias("kebab"), scalars.decapitalise_column(F.col("name")).alias("collection"))
+
+
+# Streams
+
+
+def shared_location(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's checkpoints, in the one that spark.checkpoint.dir names; a local one where that is unset (tests)."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
+def _stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.sources.feed import FeedSource
+
+    spark.dataSource.register(FeedSource)
+    events = spark.readStream.format("feed").option("path", f"{sf_dir}/events.parquet").option("maxEventsPerBatch", 2500).load()
+    kind = envelope.mapped(F.col("event_type"), envelope.EVENT_OPERATIONS)
+    return events.select(F.col("event_id").alias("seq"), envelope.resume_token(F.col("event_id")).alias("resume_token"), kind.alias("operation_type"), F.lit("events").alias("coll"), F.col("user_id").alias("document_key"), F.col("ts").alias("cluster_time"), "event_type", "value")
+
+
+@query()
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries of each event to a strict stream whose handler fails once in its second batch and is then started again."""
+    from tidemark.plans.spec import CheckpointPolicy, stream
+    from tidemark.stores.memory import MemoryCheckpoints
+    from tidemark.streaming.runner import StrictRunner
+
+    delivered: dict[int, int] = {}
+    crash = {"left": 1}
+
+    def accepts(context) -> bool:
+        if context.seq == 2700 and crash["left"]:
+            crash["left"] = 0
+            raise ConnectionError("the process dies here")
+        return True
+
+    def handle(context) -> None:
+        delivered[context.seq] = delivered.get(context.seq, 0) + 1
+
+    store, location = MemoryCheckpoints(), shared_location(spark, "replay")
+    for _ in range(2):
+        spec = stream("replay").options(collection="events", checkpoint=CheckpointPolicy(save_every=100)).on_change(handle).filter(accepts).build()
+        try:
+            StrictRunner(spec, store).start(_stream_of(spark, sf_dir), location, available_now=True).awaitTermination()
+        except Exception:
+            if crash["left"]:
+                raise
+    anchor = store.find("replay").last_processed_token
+    return spark.createDataFrame([(k, n, anchor) for k, n in delivered.items()], "seq long, deliveries int, anchor string")
+
+
+@query()
+def stream_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters of a strict stream whose handler refuses errors and fails on expensive purchases."""
+    from tidemark.plans.spec import CheckpointPolicy, DeadLetterPolicy, stream
+    from tidemark.stores.memory import MemoryCheckpoints, MemoryDeadLetters
+    from tidemark.streaming.runner import StrictRunner
+
+    def purchase(document, context) -> None:
+        if document["value"] > 90:
+            raise TimeoutError(f"no answer for {context.seq}")
+
+    def refuse(context) -> None:
+        context.send_to_dead_letters("refused")
+
+    letters = MemoryDeadLetters()
+    retry = RetryPolicy(2, "1ms", "1ms", 1.0, False)
+    spec = stream("letters").options(collection="events", checkpoint=CheckpointPolicy(save_every=500), retry=retry, dead_letters=DeadLetterPolicy()).on_replace(purchase).on_delete(refuse).build()
+    StrictRunner(spec, MemoryCheckpoints(), letters, sleep=lambda s: None).start(_stream_of(spark, sf_dir), shared_location(spark, "letters"), available_now=True).awaitTermination()
+    rows = [(e.id, e.document_key, e.error.type, e.attempts, e.status) for e in letters.find_by_stream("letters")]
+    return spark.createDataFrame(rows, "id string, document_key string, error_type string, attempts int, status string")
+
+
+@query("""WITH {feed} SELECT seq, CASE operation_type WHEN 'REPLACE' THEN (CASE WHEN value > 90 THEN 'DEAD_LETTER' ELSE 'HANDLED' END) WHEN 'INSERT' THEN 'HANDLED' ELSE 'NO_HANDLER' END AS outcome,
+    CAST(CASE WHEN operation_type = 'REPLACE' AND value > 90 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM feed""")
+def keyed_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in parallel, each in order."""
+    from tidemark.plans.spec import DeadLetterPolicy, stream
+    from tidemark.streaming.runner import run_keyed
+
+    def purchase(document) -> None:
+        if document["value"] > 90:
+            raise TimeoutError("no answer")
+
+    spec = stream("parallel").options(collection="events", retry=RetryPolicy(2, "0ms", "0ms"), dead_letters=DeadLetterPolicy()).on_replace(purchase).on_insert(lambda document: None).build()
+    return run_keyed(events_feed(spark, sf_dir), spec).select("seq", "outcome", "attempts")
