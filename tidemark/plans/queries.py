@@ -578,11 +578,10 @@ def shared_location(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
-def _stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.sources.feed import FeedSource
+def _stream_of(spark: SparkSession, sf_dir: str, location: str) -> DataFrame:
+    from tidemark.sources.feed import stream_feed
 
-    spark.dataSource.register(FeedSource)
-    events = spark.readStream.format("feed").option("path", f"{sf_dir}/events.parquet").option("maxEventsPerBatch", 2500).load()
+    events = stream_feed(spark, location, path=f"{sf_dir}/events.parquet", maxEventsPerBatch=2500)
     kind = envelope.mapped(F.col("event_type"), envelope.EVENT_OPERATIONS)
     return events.select(F.col("event_id").alias("seq"), envelope.resume_token(F.col("event_id")).alias("resume_token"), kind.alias("operation_type"), F.lit("events").alias("coll"), F.col("user_id").alias("document_key"), F.col("ts").alias("cluster_time"), "event_type", "value")
 
@@ -591,6 +590,7 @@ def _stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries of each event to a strict stream whose handler fails once in its second batch and is then started again."""
     from tidemark.plans.spec import CheckpointPolicy, stream
+    from tidemark.sources.feed import drain
     from tidemark.stores.memory import MemoryCheckpoints
     from tidemark.streaming.runner import StrictRunner
 
@@ -610,7 +610,7 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         spec = stream("replay").options(collection="events", checkpoint=CheckpointPolicy(save_every=100)).on_change(handle).filter(accepts).build()
         try:
-            StrictRunner(spec, store).start(_stream_of(spark, sf_dir), location, available_now=True).awaitTermination()
+            drain(spark, location, lambda: StrictRunner(spec, store).start(_stream_of(spark, sf_dir, location), location, available_now=True))
         except Exception:
             if crash["left"]:
                 raise
@@ -622,6 +622,7 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dead letters of a strict stream whose handler refuses errors and fails on expensive purchases."""
     from tidemark.plans.spec import CheckpointPolicy, DeadLetterPolicy, stream
+    from tidemark.sources.feed import drain
     from tidemark.stores.memory import MemoryCheckpoints, MemoryDeadLetters
     from tidemark.streaming.runner import StrictRunner
 
@@ -635,7 +636,8 @@ def stream_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = MemoryDeadLetters()
     retry = RetryPolicy(2, "1ms", "1ms", 1.0, False)
     spec = stream("letters").options(collection="events", checkpoint=CheckpointPolicy(save_every=500), retry=retry, dead_letters=DeadLetterPolicy()).on_replace(purchase).on_delete(refuse).build()
-    StrictRunner(spec, MemoryCheckpoints(), letters, sleep=lambda s: None).start(_stream_of(spark, sf_dir), shared_location(spark, "letters"), available_now=True).awaitTermination()
+    location, runner = shared_location(spark, "letters"), StrictRunner(spec, MemoryCheckpoints(), letters, sleep=lambda s: None)
+    drain(spark, location, lambda: runner.start(_stream_of(spark, sf_dir, location), location, available_now=True))
     rows = [(e.id, e.document_key, e.error.type, e.attempts, e.status) for e in letters.find_by_stream("letters")]
     return spark.createDataFrame(rows, "id string, document_key string, error_type string, attempts int, status string")
 

@@ -9,11 +9,16 @@ A plain ``spark.readStream.parquet`` suits feeds that need no order across files
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidemark.operators.resume import HistoryLostError
@@ -79,7 +84,7 @@ class FeedReader(DataSourceReader):
 class FeedStreamReader(DataSourceStreamReader):
     def __init__(self, table: _Table, names: list[str], options: dict):
         self.table, self.names, self.options = table, names, options
-        self.most = int(options.get("maxEventsPerBatch", 10_000))
+        self.most = int(options.get("maxeventsperbatch", 10_000))
         self.reached: int | None = None
 
     def initialOffset(self) -> dict:
@@ -111,11 +116,16 @@ class FeedStreamReader(DataSourceStreamReader):
         """Nothing to release: the table keeps its events."""
 
 
+def lowered(options: dict) -> dict:
+    """Option names don't differ by case."""
+    return {k.lower(): v for k, v in options.items()}
+
+
 def start_after(options: dict) -> int | None:
-    if "startAfter" in options:
-        return int(options["startAfter"])
-    if "startSeq" in options:
-        return int(options["startSeq"]) - 1
+    if "startafter" in options:
+        return int(options["startafter"])
+    if "startseq" in options:
+        return int(options["startseq"]) - 1
     return None
 
 
@@ -130,13 +140,36 @@ class FeedSource(DataSource):
         return from_arrow_schema(ds.dataset(self.options["path"]).schema, prefer_timestamp_ntz=True)
 
     def reader(self, schema: StructType) -> FeedReader:
-        after = start_after(dict(self.options))
-        return FeedReader(_Table(dict(self.options)), schema.names, -1 if after is None else after)
+        after = start_after(lowered(self.options))
+        return FeedReader(_Table(lowered(self.options)), schema.names, -1 if after is None else after)
 
     def streamReader(self, schema: StructType) -> FeedStreamReader:
-        return FeedStreamReader(_Table(dict(self.options)), schema.names, dict(self.options))
-
-
-def offset_token(text: str) -> int:
-    """Sequence number of a stored offset."""
-    return int(json.loads(text)["seq"])
+        return FeedStreamReader(_Table(lowered(self.options)), schema.names, lowered(self.options))
+
+
+def planned_offset(spark: SparkSession, location: str) -> int | None:
+    """End of the last batch that a query with this checkpoint location has planned: Spark's own record, and the authority on progress."""
+    try:
+        logs = spark.read.format("text").option("wholetext", True).load(f"{location.rstrip('/')}/offsets/*").select("value", F.input_file_name().alias("file")).collect()  # Spark keeps the last 100 or so
+    except AnalysisException:
+        return None
+    last = max(((int(r.file.rsplit("/", 1)[1]), r.value) for r in logs if r.file.rsplit("/", 1)[1].isdigit()), default=None)
+    return None if last is None else int(json.loads(last[1].strip().splitlines()[-1])["seq"])
+
+
+def stream_feed(spark: SparkSession, location: str, **options: Any) -> DataFrame:
+    """The feed as a stream for a query with this checkpoint location. The reader isn't told where a restarted query stands, so it is passed on here."""
+    spark.dataSource.register(FeedSource)
+    resumed = planned_offset(spark, location)
+    return spark.readStream.format("feed").options(**options, **({} if resumed is None else {"resumed": resumed})).load()
+
+
+def drain(spark: SparkSession, location: str, start: Callable[[], StreamingQuery]) -> None:
+    """Run bounded batches, one query run each, until no new one is planned."""
+    before: int | None = None
+    while True:
+        start().awaitTermination()
+        now = planned_offset(spark, location)
+        if now == before:
+            return
+        before = now
