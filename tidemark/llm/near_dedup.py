@@ -9,11 +9,12 @@ Documents with equal texts form a class, and only classes are compared. Bands of
 1. In each bucket of a band every class is paired with the bucket's smallest. Pairs are first estimated from the registers
    (collision-corrected; pairs more than five standard errors below the threshold go) and then verified on full sets.
 2. Components of the links found are formed. A bucket whose classes all lie in one component is done: more links in it
-   can't change the result. Otherwise each class outside the leader's component meets, in blocks of bounded size, the classes of
-   other components; first the best estimate per component is verified, then, with the components formed
-   anew, every pair left that the estimate doesn't rule out.
+   can't change the result. Otherwise each class outside the leader's component meets, in blocks of bounded size, the classes
+   of other components. Pairs that the estimate leaves open, each in the first band it shares, only mark their members;
+   the members' full sets meet in the same blocks, where all intersections are counted at once, and a link is returned only where it joins
+   two components.
 
-So no bucket is capped and no pairs within a component are listed. Shingle sets are compared as sets of 64-bit hashes.
+So no bucket is capped and no pairs are listed but those with a bucket's leader. Shingle sets are compared as sets of 64-bit hashes.
 
 Chance of missing a link: a pair at similarity 0.8 has a band in common with probability 1 - (1 - 0.8**4)**32, above 1 - 1e-7.
 
@@ -34,10 +35,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.joins import HOT_PARTS, join_groups, stored, written
-from tidemark.llm.textkit import BLANKS, Words, grams, lower_ascii, map_slices, mix, ranges, raw_bytes, text_of
+from tidemark.llm.textkit import BLANKS, Words, grams, lower_ascii, map_slices, mix, raw_bytes, slices, text_of
 
 REGISTERS, MANTISSA, BAND = 128, 10, 4
-CHUNK, BLOCK = 256, 512
+CHUNK, BLOCK, COLUMNS = 256, 512, 16_384
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -177,21 +178,24 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int) -
     return map_slices(dealt, run, "a long, b long")
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int, best_only: bool) -> DataFrame:
-    """Pairs of classes in one bucket but different components that the estimate leaves open."""
+def open_members(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Who takes part in a pair that is still open: one bucket, different components, not refuted by the estimate.
+
+    The classes of a bucket fall into blocks of about BLOCK; those outside the leader's component ask in every block.
+    A pair is looked at only in the first band that it shares. Returns members (bucket, block, asks, node, component), never pairs.
+    """
     named = members.where("n > 2").join(labels.withColumnRenamed("root", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     leaders = labels.select(F.col("node").alias("leader"), F.col("root").alias("leader_component"))
     named = named.join(leaders, "leader", "left").withColumn("leader_component", F.coalesce("leader_component", "leader"))
-    named = stored(named.withColumn("outside", F.col("component") != F.col("leader_component")).select("bucket", "node", "leader", "n", "component", "outside"))
+    named = stored(named.withColumn("outside", F.col("component") != F.col("leader_component")).select("bucket", "band", "node", "leader", "n", "component", "outside"))
     total = named.count()
     open_buckets = named.where("outside").groupBy("bucket").agg(F.max("n").alias("size"))
     within = join_groups(named, open_buckets, "bucket", "size", max(total, 1)).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    sketch = classes.select("node", "n_shingles", "registers")
-    within = within.join(sketch, "node")
+    within = within.join(classes.select("node", "n_shingles", "registers"), "node")
     blocks = within.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("asks", F.lit(False))
     asking = within.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["bucket", "block", "asks", "node", "leader", "component", "n_shingles", "registers"]
+    columns = ["bucket", "block", "asks", "node", "leader", "component", "n_shingles", "registers", "band"]
     dealt = blocks.select(columns).unionByName(asking.select(columns)).repartition(partitions, "bucket", "block").sortWithinPartitions("bucket", "block", "asks", "node")
     least = cut(threshold / 100)
 
@@ -200,34 +204,96 @@ def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, thresh
             yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in groupby(rows(batches), key=lambda r: r[:2]):
+        for (bucket, block), group in groupby(rows(batches), key=lambda r: r[:2]):
             held: list[tuple] = []
             matrix = None
-            found: list[tuple[int, int]] = []
+            askers: list[tuple[int, int]] = []
             for row in group:
                 if not row[2]:
                     held.append(row)
                     continue
                 if not held:
-                    continue
+                    break
                 if matrix is None:
                     matrix = np.array([np.frombuffer(r[7], ">u2") for r in held])
                     nodes, parts, sizes = (np.array([r[k] for r in held]) for k in (3, 5, 6))
-                equal = (matrix == np.frombuffer(row[7], ">u2")).sum(1)
-                likely = (equal >= least * REGISTERS) & (parts != row[5]) & (nodes != row[4])
-                likely = np.flatnonzero(likely)
-                score = estimate(equal[likely], sizes[likely], np.full(len(likely), row[6]))
-                likely, score = likely[score >= least], score[score >= least]
-                if best_only and len(likely):
-                    order = np.lexsort((nodes[likely], -score))
-                    _, firsts = np.unique(parts[likely][order], return_index=True)
-                    likely = likely[order[firsts]]
-                found += [(min(row[3], y), max(row[3], y)) for y in nodes[likely].tolist()]
-            if found:
-                found = sorted(set(found))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+                    wanted = np.zeros(len(held), bool)
+                same = matrix == np.frombuffer(row[7], ">u2")
+                equal = same.sum(1)
+                first_band = same.reshape(len(held), -1, BAND).all(2).argmax(1)
+                likely = np.flatnonzero((equal >= least * REGISTERS) & (parts != row[5]) & (nodes != row[4]) & (first_band == row[8]) & (100 * np.minimum(sizes, row[6]) >= threshold * np.maximum(sizes, row[6])))
+                likely = likely[estimate(equal[likely], sizes[likely], np.full(len(likely), row[6])) >= least]
+                if len(likely):
+                    wanted[likely] = True
+                    askers.append((row[3], row[5]))
+            if askers:
+                found = [(bucket, block, False, n, c) for n, c in zip(nodes[wanted].tolist(), parts[wanted].tolist(), strict=True)] + [(bucket, block, True, n, c) for n, c in askers]
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["bucket", "block", "asks", "node", "component"])
+
+    return dealt.mapInArrow(run, "bucket long, block long, asks boolean, node long, component long")
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as products of their incidence matrices, COLUMNS shared values at a time."""
+    values = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, len(values), COLUMNS):
+        part = values[low : low + COLUMNS]
+        sides = []
+        for sets in (left, right):
+            dense = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                dense[i, np.flatnonzero(np.isin(part, s, assume_unique=True))] = 1
+            sides.append(dense)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def open_links(found: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
+    """Links between different components among open members, verified on full sets; one per pair of components and block at most."""
+    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["bucket", "block", "asks", "node", "component", "text"]
+    dealt = found.join(texts.select("node", "text"), "node").select(columns).repartition(partitions, "bucket", "block").sortWithinPartitions("bucket", "block", "asks", "node")
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for piece in slices(batch):
+                hashes, bounds = shingle_sets(text_of(piece), shingle)
+                sets = [hashes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield from zip(*(piece.column(c).to_pylist() for c in columns[:-1]), sets, strict=True)
+
+    def compare(askers: list[tuple], held: list[tuple], joined: dict[int, int]) -> Iterator[tuple[int, int]]:
+        def root(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        shared = common([r[5] for r in askers], [r[5] for r in held])
+        union = np.array([len(r[5]) for r in askers])[:, None] + np.array([len(r[5]) for r in held])[None, :] - shared
+        for i, j in np.argwhere(100 * shared >= threshold * union).tolist():
+            a, b = root(askers[i][4]), root(held[j][4])
+            if a != b:
+                joined[a] = b
+                yield min(askers[i][3], held[j][3]), max(askers[i][3], held[j][3])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(rows(batches), key=lambda r: r[:2]):
+            held: list[tuple] = []
+            asking: list[tuple] = []
+            joined: dict[int, int] = {}
+            links: list[tuple[int, int]] = []
+            for row in group:
+                (asking if row[2] else held).append(row)
+                if len(asking) == BLOCK:
+                    links += compare(asking, held, joined)
+                    asking = []
+            if asking and held:
+                links += compare(asking, held, joined)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, shingle: int = 5) -> DataFrame:
@@ -237,18 +303,18 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, shingle: int = 5) -> D
     total = rows.count()
     classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
-    in_band = classes.select("node", F.explode(bands()).alias("bucket"))
+    in_band = classes.select("node", F.posexplode(bands()).alias("band", "bucket"))
     groups = stored(in_band.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"))
     members = stored(join_groups(in_band, groups, "bucket", "n", max(total, 1)))
     texts = class_texts(docs, classes, members.select("node").distinct(), total)
     pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(verified(stored(pairs), texts, threshold, shingle))
     labels = stored(components(links))
-    for best_only in (True, False):
-        pairs = stored(open_pairs(members, labels, classes, threshold, best_only))
-        if not pairs.isEmpty():
-            links = links.unionByName(stored(verified(pairs, texts, threshold, shingle)))
-            labels = stored(components(links))
+    found = stored(open_members(members, labels, classes, threshold))
+    if not found.isEmpty():
+        more = stored(open_links(found, texts, threshold, shingle))
+        if not more.isEmpty():
+            labels = stored(components(links.unionByName(more)))
     return labelled(rows, classes, labels, total)
 
 
