@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_SOURCES = 10_000
 SALTS = 64
+# Names the operator uses; the first four are in its result.
+OWN = ("mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_source", "mix_steps", "mix_salt", "mix_salt_")
 
 
 def uniform(*parts: Column) -> Column:
@@ -66,12 +68,12 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float], other: float = 1.
     """All copies, dealt and sorted in their global random order.
 
     Beside the columns of ``docs`` the result has mix_rate, mix_copies, mix_copy (from 0) and mix_key, by which it is sorted
-    over all partitions. A column of ``docs`` with one of these names is replaced.
+    over all partitions. Columns of ``docs`` whose names are in OWN go.
     """
     rates = source_rates(docs, weights, other, epochs).persist()
     try:
         small = rates.count() <= BROADCAST_SOURCES
-        names = [c for c in docs.columns if c.lower() not in ("mix_rate", "mix_copies", "mix_copy", "mix_key")]
+        names = [c for c in docs.columns if c.lower() not in OWN]
         rows = docs.select(*(F.col(f"`{c}`") for c in names))
         right = rates.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.col("steps").alias("mix_steps"))
         if small:
@@ -79,7 +81,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float], other: float = 1.
             rows = rows.join(F.broadcast(bounded), F.col("source").eqNullSafe(F.col("mix_source")))
         else:
             rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64(F.lit(seed), F.lit("salt"), "doc_id"), F.lit(SALTS)))
-            right = right.withColumn("mix_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+            right = right.withColumn("mix_salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
             rows = rows.join(right, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_salt") == F.col("mix_salt_"))).drop("mix_salt", "mix_salt_")
     finally:
         rates.unpersist()
