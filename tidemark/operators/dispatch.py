@@ -12,7 +12,8 @@ from tidemark.operators.ordered import last_known
 
 ACTIONS = ("SKIP", "DLQ", "RETRY", "RETHROW")
 CATCH_ALL = 2**31 - 1
-INTERFACE = CATCH_ALL - 1
+# The ancestor that stands for every error.
+ANY = "*"
 
 
 def route(typed: Mapping[str, str], on_change: str | None = None) -> Column:
@@ -47,10 +48,10 @@ def resolve_handlers(errors: DataFrame, kinds: DataFrame, bindings: DataFrame) -
 
     The choice is made once per error type; kinds and bindings are as many as there are classes in the program.
     """
-    named = kinds.join(bindings, "ancestor").select("error_type", "handler", "position", "action", "distance")
     types = kinds.select("error_type").distinct()
-    others = types.crossJoin(F.broadcast(bindings.where("ancestor is null"))).select("error_type", "handler", "position", "action", F.lit(CATCH_ALL).alias("distance"))
-    best = named.unionByName(others).groupBy("error_type").agg(F.min_by(F.struct("handler", "action"), F.struct("distance", "position")).alias("best"))
+    every = types.select("error_type", F.lit(ANY).alias("ancestor"), F.lit(CATCH_ALL).alias("distance"))
+    named = kinds.unionByName(every).join(bindings.withColumn("ancestor", F.coalesce("ancestor", F.lit(ANY))), "ancestor")
+    best = named.groupBy("error_type").agg(F.min_by(F.struct("handler", "action"), F.struct("distance", "position")).alias("best"))
     found = types.join(best, "error_type", "left").select("error_type", F.col("best.handler").alias("handler"), F.coalesce("best.action", F.lit("RETHROW")).alias("action"))
     return errors.join(F.broadcast(found), "error_type", "left").withColumn("action", F.coalesce("action", F.lit("RETHROW")))
 
