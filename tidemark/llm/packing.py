@@ -29,7 +29,7 @@ from tidemark.llm.textkit import slices, text_of
 from tidemark.llm.wordbpe import gather, load
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 END_ID = 2
 
 
@@ -112,6 +112,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, end_id
                 out, used = block(piece, sequence)
                 sequence += used
                 yield out
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

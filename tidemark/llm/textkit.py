@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 19
 
 # Separators: blank and tab to carriage return; or every ASCII character but letters and digits.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -39,15 +39,16 @@ def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column).cast(pa.string()), "")
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
-    """Apply ``fn`` to each slice of ``df``."""
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """Apply ``fn`` to each slice of ``df``. What Arrow has freed goes back to the system after each batch, as workers live on."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, column):
+            for piece in slices(batch, column, limit):
                 out = fn(piece)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from tidemark.llm.textkit import Words, mix, ranges, raw_bytes
 
-PIECE_CACHE, CHUNK_CACHE = 150_000, 1_500_000
+PIECE_CACHE, CHUNK_CACHE = 100_000, 1_000_000
 # Fixed: the pre-tokenizer's pieces for lower-case ASCII.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 BLANK = re.compile(r"[ \t\n\v\f\r]+")
