@@ -208,7 +208,7 @@ def test_overlapping_passages(spark):
 
 
 def test_other_slices_are_an_error():
-    table = pa.table({"slice": [1], "doc_id": [1], "text": ["a b"]})
+    table = pa.table({"slice": [1], "rows": [substring_dedup.packed(pa.table({"doc_id": [1], "text": ["a b"]}))]})
     answers = pa.table({c: pa.array([], pa.int64()) for c in ("slice", "key", "least", "splits")})
     with pytest.raises(ValueError, match="other slices"):
         substring_dedup.first_pass(table, answers)

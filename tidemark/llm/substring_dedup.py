@@ -31,6 +31,7 @@ from itertools import compress, groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from tidemark.llm.joins import stored, written
 from tidemark.llm.textkit import BLANKS, Words, grams, map_slices, mix, ranges, raw_bytes, text_of
 
 WINDOW, GRAM = 13, 5
-SPLIT_ROWS, SHARD_WORDS = 4096, 50_000
+SPLIT_ROWS, SHARD_WORDS, SLICE = 256, 50_000, 4 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -121,7 +122,7 @@ def list_runs(docs: DataFrame) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, ["anchor", "key", "slice", "least", "several"])
 
-    return map_slices(docs, run, "anchor long, key long, slice long, least long, several boolean")
+    return map_slices(docs, run, limit=SLICE, schema="anchor long, key long, slice long, least long, several boolean")
 
 
 def meet(listed: DataFrame) -> DataFrame:
@@ -162,8 +163,8 @@ def meet(listed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "slice long, key long, least long, splits long")
 
 
-OUTCOME = "kind string, slice long, doc_id long, text string, covered binary, n_words long, n_removed long, kept_sha256 string, anchor long, part long, key long, least long, several boolean"
-_EMPTY = {"kind": pa.string(), "slice": pa.int64(), "doc_id": pa.int64(), "text": pa.string(), "covered": pa.binary(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "anchor": pa.int64(), "part": pa.int64(), "key": pa.int64(), "least": pa.int64(), "several": pa.bool_()}
+OUTCOME = "kind string, slice long, rows binary, doc_id long, text string, n_words long, n_removed long, kept_sha256 string, anchor long, part long, key long, least long, several boolean"
+_EMPTY = {"kind": pa.string(), "slice": pa.int64(), "rows": pa.binary(), "doc_id": pa.int64(), "text": pa.string(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "anchor": pa.int64(), "part": pa.int64(), "key": pa.int64(), "least": pa.int64(), "several": pa.bool_()}
 
 
 def outcome(kind: str, n: int, **columns: pa.Array) -> pa.Table:
@@ -183,10 +184,25 @@ def finished(doc_id: list, texts: list[str], covered: list[np.ndarray]) -> pa.Ta
     return outcome("done", len(rows), doc_id=pa.array(doc_id, pa.int64()), n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()), kept_sha256=pa.array(digest, pa.string()))
 
 
+def packed(rows: pa.Table) -> bytes:
+    """A slice's rows as one compressed value: slices are moved whole, and text shrinks far more this way than row by row."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=None)) as writer:
+        writer.write_table(rows)
+    return zstandard.ZstdCompressor(3).compress(sink.getvalue())
+
+
+def unpacked(values: list[bytes]) -> pa.Table:
+    """Rows of one or more equal slices."""
+    return pa.concat_tables([pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(v)).read_all() for v in values])
+
+
 def first_pass(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Finish documents whose windows are all answered; ask for the others."""
     if not docs.num_rows:
         return outcome("done", 0)
+    name = docs.column("slice")[0].as_py()
+    docs = unpacked(docs.column("rows").to_pylist())
     keys = answers.column("key").to_numpy(zero_copy_only=False)
     if not answers.column("key").null_count:
         raise ValueError("the documents were cut into other slices than before")
@@ -194,7 +210,7 @@ def first_pass(docs: pa.Table, answers: pa.Table) -> pa.Table:
     keys = answers.column("key").to_numpy()
     order = np.argsort(keys)
     keys, least, splits = keys[order], answers.column("least").to_numpy()[order], answers.column("splits").to_numpy()[order]
-    texts = text_of(docs.combine_chunks().to_batches()[0]) if docs.num_rows else pa.array([], pa.string())
+    texts = text_of(docs.combine_chunks().to_batches()[0])
     runs = Runs(ids_of(docs.column("doc_id")), texts)
     own = runs.key.view(np.int64)
     at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
@@ -210,9 +226,10 @@ def first_pass(docs: pa.Table, answers: pa.Table) -> pa.Table:
     pick = lambda rows, of: [rows[i] for i in np.flatnonzero(of).tolist()]
     out = [finished(pick(doc_ids, ~waiting), pick(values, ~waiting), pick(parts, ~waiting))]
     n = int(waiting.sum())
-    name = docs.column("slice")[0].as_py()
     bits = [np.packbits(c).tobytes() for c in pick(parts, waiting)]
-    out.append(outcome("open", n, slice=pa.array([name] * n, pa.int64()), doc_id=pa.array(pick(doc_ids, waiting), pa.int64()), text=pa.array(pick(values, waiting), pa.string()), covered=pa.array(bits, pa.binary())))
+    if n:
+        left = pa.table({"doc_id": pa.array(pick(doc_ids, waiting), pa.int64()), "text": pa.array(pick(values, waiting), pa.string()), "covered": pa.array(bits, pa.binary())})
+        out.append(outcome("open", 1, slice=pa.array([name]), rows=pa.array([packed(left)])))
     whole, cut = np.flatnonzero(asks & (splits[at] == 1)) if len(keys) else own[:0], np.flatnonzero(asks & (splits[at] > 1)) if len(keys) else own[:0]
     window = ranges(runs.first[cut], runs.length[cut]) if len(cut) else np.zeros(0, np.int64)
     run_of = np.repeat(cut, runs.length[cut]) if len(cut) else np.zeros(0, np.int64)
@@ -301,6 +318,7 @@ def second_pass(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Finish the waiting documents of a slice."""
     if not docs.num_rows:
         return outcome("done", 0)
+    docs = unpacked(docs.column("rows").to_pylist())
     texts = text_of(docs.combine_chunks().to_batches()[0])
     runs = Runs(ids_of(docs.column("doc_id")), texts)
     lows = dict(zip(answers.column("key").to_pylist(), answers.column("lows").to_pylist(), strict=True))
@@ -326,13 +344,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def tag(piece: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(piece.num_rows, slice_id(piece))), piece.column("doc_id"), piece.column("text")], ["slice", "doc_id", "text"])
+        return pa.RecordBatch.from_arrays([pa.array([slice_id(piece)]), pa.array([packed(pa.table({"doc_id": piece.column("doc_id"), "text": text_of(piece)}))])], ["slice", "rows"])
 
     answers = stored(meet(list_runs(docs)))
-    tagged = map_slices(docs, tag, "slice long, doc_id long, text string")
+    tagged = map_slices(docs, tag, "slice long, rows binary", limit=SLICE)
     first = written(tagged.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(first_pass, OUTCOME))
     final = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     found = stored(match_shards(first.where("kind = 'ask'")))
-    waiting = first.where("kind = 'open'").select("slice", "doc_id", "text", "covered")
+    waiting = first.where("kind = 'open'").select("slice", "rows")
     second = waiting.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(second_pass, OUTCOME)
     return first.where("kind = 'done'").select(final).unionByName(second.select(final))
