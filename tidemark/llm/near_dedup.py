@@ -10,11 +10,12 @@ Documents with equal texts form a class, and only classes are compared. Bands of
    (collision-corrected; pairs more than five standard errors below the threshold go) and then verified on full sets.
 2. Components of the links found are formed. A bucket whose classes all lie in one component is done: more links in it
    can't change the result. Otherwise each class outside the leader's component meets, in blocks of bounded size, the classes
-   of other components. Pairs that the estimate leaves open, each in the first band it shares, only mark their members;
+   of other components. ROUNDS times only the most similar one of a block is verified, and the components are formed anew; that joins
+   nearly all that can be joined. Then pairs that the estimate leaves open, each in the first band it shares, only mark their members;
    the members' full sets meet in the same blocks, where all intersections are counted at once, and a link is returned only where it joins
    two components.
 
-So no bucket is capped and no pairs are listed but those with a bucket's leader. Shingle sets are compared as sets of 64-bit hashes.
+So no bucket is capped, and the pairs that are listed are a few per class. Shingle sets are compared as sets of 64-bit hashes.
 
 Chance of missing a link: a pair at similarity 0.8 has a band in common with probability 1 - (1 - 0.8**4)**32, above 1 - 1e-7.
 
@@ -38,7 +39,7 @@ from tidemark.llm.joins import HOT_PARTS, join_groups, stored, written
 from tidemark.llm.textkit import BLANKS, Words, grams, lower_ascii, map_slices, mix, raw_bytes, slices, text_of
 
 REGISTERS, MANTISSA, BAND = 128, 10, 4
-CHUNK, BLOCK, COLUMNS = 256, 512, 16_384
+CHUNK, BLOCK, COLUMNS, ROUNDS = 256, 1024, 4096, 1
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -178,25 +179,27 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int) -
     return map_slices(dealt, run, "a long, b long")
 
 
-def open_members(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def open_members(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int, best: bool = False) -> DataFrame:
     """Who takes part in a pair that is still open: one bucket, different components, not refuted by the estimate.
 
-    The classes of a bucket fall into blocks of about BLOCK; those outside the leader's component ask in every block.
-    A pair is looked at only in the first band that it shares. Returns members (bucket, block, asks, node, component), never pairs.
+    The classes of a bucket fall into blocks of about BLOCK, those outside the leader's component, which ask, into parts of as many; each
+    part meets each block. A pair is looked at only in the first band that it shares. Returns members (bucket, block, part, asks, node,
+    component), never pairs; with ``best`` the pairs (a, b) of each asking class with the most similar one of the block.
     """
     named = members.where("n > 2").join(labels.withColumnRenamed("root", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     leaders = labels.select(F.col("node").alias("leader"), F.col("root").alias("leader_component"))
     named = named.join(leaders, "leader", "left").withColumn("leader_component", F.coalesce("leader_component", "leader"))
     named = stored(named.withColumn("outside", F.col("component") != F.col("leader_component")).select("bucket", "band", "node", "leader", "n", "component", "outside"))
     total = named.count()
-    open_buckets = named.where("outside").groupBy("bucket").agg(F.max("n").alias("size"))
+    open_buckets = named.where("outside").groupBy("bucket").agg(F.max("n").alias("size"), F.ceil(F.count("*") / BLOCK).alias("parts"))
     within = join_groups(named, open_buckets, "bucket", "size", max(total, 1)).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     within = within.join(classes.select("node", "n_shingles", "registers"), "node")
-    blocks = within.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("asks", F.lit(False))
-    asking = within.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    blocks = within.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("part", each("parts")).withColumn("asks", F.lit(False))
+    asking = within.where("outside").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("block", each("blocks")).withColumn("asks", F.lit(True))
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["bucket", "block", "asks", "node", "leader", "component", "n_shingles", "registers", "band"]
-    dealt = blocks.select(columns).unionByName(asking.select(columns)).repartition(partitions, "bucket", "block").sortWithinPartitions("bucket", "block", "asks", "node")
+    columns = ["bucket", "block", "part", "asks", "node", "leader", "component", "n_shingles", "registers", "band"]
+    dealt = blocks.select(columns).unionByName(asking.select(columns)).repartition(partitions, "bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "asks", "node")
     least = cut(threshold / 100)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
@@ -204,34 +207,43 @@ def open_members(members: DataFrame, labels: DataFrame, classes: DataFrame, thre
             yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket, block), group in groupby(rows(batches), key=lambda r: r[:2]):
+        for place, group in groupby(rows(batches), key=lambda r: r[:3]):
             held: list[tuple] = []
             matrix = None
             askers: list[tuple[int, int]] = []
-            for row in group:
-                if not row[2]:
+            pairs: list[tuple[int, int]] = []
+            for _, _, _, asks, *row in group:  # node, leader, component, n_shingles, registers, band
+                if not asks:
                     held.append(row)
                     continue
                 if not held:
                     break
                 if matrix is None:
-                    matrix = np.array([np.frombuffer(r[7], ">u2") for r in held])
-                    nodes, parts, sizes = (np.array([r[k] for r in held]) for k in (3, 5, 6))
+                    matrix = np.array([np.frombuffer(r[4], ">u2") for r in held])
+                    nodes, components_, sizes = (np.array([r[k] for r in held]) for k in (0, 2, 3))
                     wanted = np.zeros(len(held), bool)
-                same = matrix == np.frombuffer(row[7], ">u2")
+                same = matrix == np.frombuffer(row[4], ">u2")
                 equal = same.sum(1)
                 first_band = same.reshape(len(held), -1, BAND).all(2).argmax(1)
-                likely = np.flatnonzero((equal >= least * REGISTERS) & (parts != row[5]) & (nodes != row[4]) & (first_band == row[8]) & (100 * np.minimum(sizes, row[6]) >= threshold * np.maximum(sizes, row[6])))
-                likely = likely[estimate(equal[likely], sizes[likely], np.full(len(likely), row[6])) >= least]
-                if len(likely):
+                likely = np.flatnonzero((equal >= least * REGISTERS) & (components_ != row[2]) & (nodes != row[1]) & (first_band == row[5]) & (100 * np.minimum(sizes, row[3]) >= threshold * np.maximum(sizes, row[3])))
+                score = estimate(equal[likely], sizes[likely], np.full(len(likely), row[3]))
+                likely, score = likely[score >= least], score[score >= least]
+                if best and len(likely):
+                    other = int(nodes[likely[np.argmax(score)]])
+                    pairs.append((min(row[0], other), max(row[0], other)))
+                elif len(likely):
                     wanted[likely] = True
-                    askers.append((row[3], row[5]))
+                    askers.append((row[0], row[2]))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"])
             if askers:
-                found = [(bucket, block, False, n, c) for n, c in zip(nodes[wanted].tolist(), parts[wanted].tolist(), strict=True)] + [(bucket, block, True, n, c) for n, c in askers]
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["bucket", "block", "asks", "node", "component"])
+                found = [(*place, False, n, c) for n, c in zip(nodes[wanted].tolist(), components_[wanted].tolist(), strict=True)] + [(*place, True, n, c) for n, c in askers]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["bucket", "block", "part", "asks", "node", "component"])
 
-    return dealt.mapInArrow(run, "bucket long, block long, asks boolean, node long, component long")
+    if best:
+        return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "bucket long, block long, part long, asks boolean, node long, component long")
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -251,10 +263,10 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def open_links(found: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
-    """Links between different components among open members, verified on full sets; one per pair of components and block at most."""
+    """Links between different components among open members, verified on full sets; where they join two components of their block and part."""
     partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["bucket", "block", "asks", "node", "component", "text"]
-    dealt = found.join(texts.select("node", "text"), "node").select(columns).repartition(partitions, "bucket", "block").sortWithinPartitions("bucket", "block", "asks", "node")
+    columns = ["bucket", "block", "part", "asks", "node", "component", "text"]
+    dealt = found.join(texts.select("node", "text"), "node").select(columns).repartition(partitions, "bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "asks", "node")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -263,34 +275,29 @@ def open_links(found: DataFrame, texts: DataFrame, threshold: int, shingle: int)
                 sets = [hashes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield from zip(*(piece.column(c).to_pylist() for c in columns[:-1]), sets, strict=True)
 
-    def compare(askers: list[tuple], held: list[tuple], joined: dict[int, int]) -> Iterator[tuple[int, int]]:
+    def compare(askers: list[tuple], held: list[tuple]) -> Iterator[tuple[int, int]]:
+        joined: dict[int, int] = {}
+
         def root(c: int) -> int:
             while joined.get(c, c) != c:
                 c = joined[c]
             return c
 
-        shared = common([r[5] for r in askers], [r[5] for r in held])
-        union = np.array([len(r[5]) for r in askers])[:, None] + np.array([len(r[5]) for r in held])[None, :] - shared
+        shared = common([r[2] for r in askers], [r[2] for r in held])
+        union = np.array([len(r[2]) for r in askers])[:, None] + np.array([len(r[2]) for r in held])[None, :] - shared
         for i, j in np.argwhere(100 * shared >= threshold * union).tolist():
-            a, b = root(askers[i][4]), root(held[j][4])
+            a, b = root(askers[i][1]), root(held[j][1])
             if a != b:
                 joined[a] = b
-                yield min(askers[i][3], held[j][3]), max(askers[i][3], held[j][3])
+                yield min(askers[i][0], held[j][0]), max(askers[i][0], held[j][0])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in groupby(rows(batches), key=lambda r: r[:2]):
+        for _, group in groupby(rows(batches), key=lambda r: r[:3]):
             held: list[tuple] = []
             asking: list[tuple] = []
-            joined: dict[int, int] = {}
-            links: list[tuple[int, int]] = []
-            for row in group:
-                (asking if row[2] else held).append(row)
-                if len(asking) == BLOCK:
-                    links += compare(asking, held, joined)
-                    asking = []
-            if asking and held:
-                links += compare(asking, held, joined)
-            if links:
+            for _, _, _, asks, *row in group:  # node, component, set
+                (asking if asks else held).append(row)
+            if asking and held and (links := list(compare(asking, held))):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
@@ -310,6 +317,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, shingle: int = 5) -> D
     pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(verified(stored(pairs), texts, threshold, shingle))
     labels = stored(components(links))
+    for _ in range(ROUNDS):
+        pairs = stored(open_members(members, labels, classes, threshold, best=True))
+        more = stored(verified(pairs, texts, threshold, shingle))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = stored(components(links))
     found = stored(open_members(members, labels, classes, threshold))
     if not found.isEmpty():
         more = stored(open_links(found, texts, threshold, shingle))
