@@ -7,7 +7,7 @@ name, so almost all of the work is the first level.
 
 One level of naming moves contents once. Within an Arrow batch only the first row of each content (its representative)
 carries it; the others carry the representative's number. Content rows are dealt by a hash of the content and sorted, and
-a streaming pass names each run of equal contents; other rows are dealt by their representative and pass through. Then
+a streaming pass names each run of equal contents; other rows are dealt evenly and pass through. Then
 rows meet their representative: a group of one batch's rows at most. A content that fills the corpus thus
 costs one row per batch, and no task holds a group.
 
@@ -49,7 +49,7 @@ def represented(first_item: int, contents: list[bytes]) -> tuple[pa.Array, pa.Ar
 def name_contents(items: DataFrame) -> DataFrame:
     """Rows (carried columns, name) of rows (item, representative, content, carried columns): one integer per distinct content."""
     partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = items.repartition(partitions, F.coalesce(F.xxhash64("content"), F.xxhash64(F.lit(4), "representative"))).sortWithinPartitions("content", "item")
+    dealt = items.repartition(partitions, F.coalesce(F.xxhash64("content"), F.xxhash64(F.lit(4), "item"))).sortWithinPartitions("content", "item")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, last = (TaskContext.get().partitionId() << 40) - 1, None
