@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.joins import written
 from tidemark.llm.textkit import NOT_ALNUM, Words, lower_ascii, map_slices, raw_bytes, text_of
 
 # Most rows of each kind that reach the driver: confirmed toxic, unlabelled, and labelled for the curve.
@@ -75,22 +76,11 @@ def stack(docs: list[Vector]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, np.concatenate([f for f, _ in docs]), np.concatenate([v for _, v in docs])
 
 
-def fit_nnpu(positive: list[Vector], unlabelled: list[Vector], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-3, min_z: float = MIN_Z) -> Classifier:
-    """Full-batch Adam on the non-negative risk with the logistic loss.
-
-    Only features that are more frequent in confirmed toxic than in unlabelled text, by ``min_z`` standard errors, have weights.
-    """
+def fit_nnpu(positive: list[Vector], unlabelled: list[Vector], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> Classifier:
+    """Full-batch Adam on the non-negative risk with the logistic loss."""
     n_p, n = len(positive), len(positive) + len(unlabelled)
     rows, flat, values = stack([*positive, *unlabelled])
-    in_p = np.bincount(flat[rows < n_p], minlength=BUCKETS)
-    in_u = np.bincount(flat[rows >= n_p], minlength=BUCKETS)
-    share = (in_p + in_u) / n
-    error = np.sqrt(share * (1 - share) * (1 / n_p + 1 / (n - n_p))) + 1e-12
-    chosen = np.flatnonzero(((in_p / n_p - in_u / (n - n_p)) / error >= min_z) & (in_p >= 3))
-    slot = np.full(BUCKETS, -1)
-    slot[chosen] = np.arange(len(chosen))
-    use = slot[flat] >= 0
-    rows, columns, values = rows[use], slot[flat[use]], values[use]
+    chosen, columns = np.unique(flat, return_inverse=True)
     w, bias = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
@@ -160,14 +150,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     free = _sample(free, free.count(), sample).select("doc_id", F.lit("u").alias("kind"))
     kinds = toxic.unionByName(curve).unionByName(free).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "").alias("kind"))  # 3 * sample rows at most
 
+    sample_docs = written(_plain(docs).join(F.broadcast(kinds), "doc_id").dropDuplicates())
+    wanted = frequent_in_toxic(sample_docs)
+    if not len(wanted):
+        return None
+    use = np.zeros(BUCKETS, bool)
+    use[wanted] = True
+
     def features(piece: pa.RecordBatch) -> pa.RecordBatch:
-        rows, found, values = buckets(piece)
+        rows, found, values = buckets(piece, use)
         bounds = np.searchsorted(rows, np.arange(piece.num_rows + 1))
         raw = [found[a:b].astype("<i4").tobytes() + values[a:b].astype("<f4").tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("kind"), pa.array(raw, pa.binary())], ["doc_id", "kind", "raw"])
 
-    chosen = map_slices(_plain(docs).join(F.broadcast(kinds), "doc_id"), features, "doc_id long, kind string, raw binary")
-    table = sorted({tuple(r) for r in zip(*(c.to_pylist() for c in chosen.toArrow().columns), strict=True)})
+    table = map_slices(sample_docs, features, "doc_id long, kind string, raw binary").toArrow()
+    table = sorted(zip(*(c.to_pylist() for c in table.columns), strict=True))  # the order of arrival must not matter
     vectors = [(np.frombuffer(raw[: len(raw) // 2], "<i4").astype(np.int64), np.frombuffer(raw[len(raw) // 2 :], "<f4").astype(float)) for *_, raw in table]
     of = lambda kind: [v for (_, k, _), v in zip(table, vectors, strict=True) if kind in k]
     if not of("p") or not of("u"):
@@ -179,6 +176,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     return model
 
 
+def frequent_in_toxic(sample_docs: DataFrame, min_z: float = MIN_Z) -> np.ndarray:
+    """Buckets that more of the confirmed toxic than of the unlabelled texts have, by ``min_z`` standard errors and in three texts at least. Counted on the executors."""
+
+    def count(piece: pa.RecordBatch) -> pa.RecordBatch:
+        rows, found, _ = buckets(piece)
+        kinds = piece.column("kind").to_pylist()
+        toxic, free = (np.array([mark in k for k in kinds])[rows] for mark in "pu")
+        names, at = np.unique(found, return_inverse=True)
+        columns = [names, *(np.bincount(at, of, len(names)).astype(np.int64) for of in (toxic, free))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "p", "u"])
+
+    sizes = sample_docs.agg(F.count_if(F.contains("kind", F.lit("p"))).alias("p"), F.count_if(F.contains("kind", F.lit("u"))).alias("u")).first()
+    if not sizes.p or not sizes.u:
+        return np.zeros(0, np.int64)
+    counts = map_slices(sample_docs, count, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    share = (F.col("p") + F.col("u")) / F.lit(sizes.p + sizes.u)
+    error = F.sqrt(share * (1 - share) * F.lit(1 / sizes.p + 1 / sizes.u)) + 1e-12
+    found = counts.where("p >= 3").where((F.col("p") / F.lit(sizes.p) - F.col("u") / F.lit(sizes.u)) / error >= min_z)
+    return np.array(sorted(r.bucket for r in found.select("bucket").collect()), np.int64)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """held_out, score and prediction of each document."""
     model = train(docs, labels)
