@@ -49,7 +49,7 @@ def represented(first_item: int, contents: list[bytes]) -> tuple[pa.Array, pa.Ar
 def name_contents(items: DataFrame) -> DataFrame:
     """Rows (carried columns, name) of rows (item, representative, content, carried columns): one integer per distinct content."""
     partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = items.repartition(partitions, F.coalesce(F.xxhash64("content"), F.xxhash64(F.lit(4), "item"))).sortWithinPartitions("content", "item")
+    dealt = items.repartition(partitions, F.when(F.col("content").isNotNull(), F.xxhash64("content")).otherwise(F.xxhash64(F.lit(4), "item"))).sortWithinPartitions("content", "item")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, last = (TaskContext.get().partitionId() << 40) - 1, None
