@@ -12,8 +12,8 @@ rows meet their representative: a group of one batch's rows at most. A content t
 costs one row per batch, and no task holds a group.
 
 Defined cases: a null text counts as empty; an empty text is one empty block; of equal texts the row with the largest doc_id
-stays (null is the smallest; of rows that share that doc_id too, one); an empty table gives no rows; other columns
-are not read, and pass unchanged through the pipeline's form.
+stays (null is the smallest; of rows that share that doc_id too, one); an empty table gives no rows; other columns,
+of whatever name, are not read, and pass unchanged through the pipeline's form.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.joins import join_groups, stored
+from tidemark.llm.joins import every, fresh, join_groups, quoted, stored
 from tidemark.llm.textkit import slices, text_of
 
 BLOCK_BYTES = 8192
@@ -36,6 +37,9 @@ BLOCK_BYTES = 8192
 CARRIED = ["doc", "place", "blocks", "doc_id", "text_sha256"]
 CARRIED_TYPES = "doc long, place long, blocks long, doc_id long, text_sha256 string"
 ITEM = f"item long, representative long, content binary, {CARRIED_TYPES}"
+ITEM_TYPES = {c: pa.string() if c == "text_sha256" else pa.int64() for c in ("item", "representative", *CARRIED)}
+# Rows of an Arrow batch of contents: with BLOCK_BYTES, 8 MB.
+BATCH = 1000
 
 
 def represented(first_item: int, contents: list[bytes]) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -54,14 +58,21 @@ def name_contents(items: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, last = (TaskContext.get().partitionId() << 40) - 1, None
         for batch in batches:
-            names: list[int | None] = []
-            for value in batch.column("content").to_pylist():
-                if value is not None and value != last:
-                    name, last = name + 1, value
-                names.append(None if value is None else name)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("item", "representative", *CARRIED)), pa.array(names, pa.int64())], ["item", "representative", *CARRIED, "name"])
-
-    named = stored(dealt.mapInArrow(run, f"item long, representative long, {CARRIED_TYPES}, name long"))
+            if not (n := batch.num_rows):
+                continue
+            values = batch.column("content")
+            valid = pc.is_valid(values).to_numpy(zero_copy_only=False)
+            new = np.ones(n, bool)
+            new[0] = values[0].as_py() != last
+            new[1:] = pc.fill_null(pc.not_equal(values.slice(1), values.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+            names = name + np.cumsum(new & valid)
+            name, last = int(names[-1]), values[n - 1].as_py()
+            kept = [pa.array(batch.column(c).to_pylist(), ITEM_TYPES[c]) for c in ("item", "representative", *CARRIED)]  # copies: the batch can go
+            del batch, values
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.int64(), mask=~valid)], ["item", "representative", *CARRIED, "name"])
+            pa.default_memory_pool().release_unused()
+
+    named = stored(dealt.mapInArrow(run, f"item long, representative long, {CARRIED_TYPES}, name long"), BATCH)
     found = named.where("name is not null").select(F.col("item").alias("representative"), "name")
     rest = named.where("name is null").drop("name").join(found, "representative")
     return named.where("name is not null").select(*CARRIED, "name").unionByName(rest.select(*CARRIED, "name"))
@@ -85,6 +96,8 @@ def first_level(docs: DataFrame, block_bytes: int) -> DataFrame:
                 columns = [pa.array(c, k) for c, k in zip(zip(*carried, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)]
                 yield pa.RecordBatch.from_arrays([*represented(number, contents), *columns], ["item", "representative", "content", *CARRIED])
                 number += len(contents)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ITEM)
 
@@ -131,8 +144,10 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
 
 
 def drop_exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, unchanged."""
-    stay = exact_duplicates(docs, block_bytes).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha256"))
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    rows = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay_id")) & (digest == F.col("stay_sha256")), "left_semi")
-    return rows.withColumn("stay_sha256", digest).dropDuplicates(["doc_id", "stay_sha256"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, unchanged; of rows with the same doc_id and text, the one whose columns come first in order."""
+    identity = F.concat_ws("|", F.coalesce(quoted("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce(quoted("text"), F.lit("")), 256))
+    key, row = fresh(docs, "exact_key"), fresh(docs, "exact_row")
+    stay = exact_duplicates(docs, block_bytes).where("kept").select(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_sha256").alias(key))
+    first = F.min_by(row, F.to_json(row)) if "map<" in docs.schema.simpleString() else F.min(row)  # maps have no order
+    rows = docs.select(identity.alias(key), F.struct(*every(docs)).alias(row)).groupBy(key).agg(first.alias(row))
+    return rows.join(stay, key, "left_semi").select(f"{row}.*")

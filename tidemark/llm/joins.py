@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A group of more than 1 / HOT_PARTS of all rows is hot; so there are fewer than HOT_PARTS hot groups, whatever the input.
@@ -33,10 +35,41 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, with their lineage cut."""
+def stored(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """The rows, written to the shared checkpoint folder, with their lineage cut; ``batch``: most rows of an Arrow batch on the way."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with arrow_batches(df.sparkSession, batch) if batch else contextlib.nullcontext():
+        return df.checkpoint()
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most ``rows`` rows in the Arrow functions of what runs meanwhile: for wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [quoted(c) for c in df.columns]
+
+
+def quoted(name: str) -> Column:
+    """The column of that name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores at its end until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame) -> DataFrame:
