@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from tidemark.llm.joins import written
+from tidemark.llm.joins import every, written
 from tidemark.llm.queries import WEIGHTS, table
 
 
@@ -24,13 +24,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id."""
+    """Of each component of near copies (four-word shingles, similarity 0.8 or more) the smallest doc_id."""
     return near_dedup.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the sources' target weights, in a global random order."""
-    return mixing.mix_sources(docs, WEIGHTS).select(docs.columns)
+    return mixing.mix_sources(docs, WEIGHTS).select(*every(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
