@@ -6,11 +6,11 @@ import random
 
 import pytest
 
-NAMES = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept boolean, score double, node long, key string, slice long, identity long, mix_key long, hot boolean, label string"
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept boolean, score double, node long, key string, slice long, identity long, mix_key long, hot boolean, label string, stay_id long, stay_sha256 string, exact_key string, exact_row string, mix_source string, mix_slot long, `a.b` long"
 
 
 def row(doc_id, text, source="src0"):
-    return (doc_id, text, "en", source, None if text is None else len(text), 1, True, 0.5, 7, "k", 3, 4, 5, False, "x")
+    return (doc_id, text, "en", source, None if text is None else len(text), 1, True, 0.5, 7, "k", 3, 4, 5, False, "x", 6, "s", "e", "r", "m", 7, 8)
 
 
 def prose(rng: random.Random, n: int) -> str:

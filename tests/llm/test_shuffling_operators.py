@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import components as components_module
 from tidemark.llm import exact_dedup, joins, mixing, near_dedup, substring_dedup, warc
 from tidemark.llm.components import components
 
@@ -33,8 +34,9 @@ def test_group_join_keeps_every_row(spark, monkeypatch):
     assert collected(joins.join_groups(rows, groups, "k", "n", 300), "i", "low") == collected(rows.join(groups, "k"), "i", "low")
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "part"), [(0, 1 << 18), (1, 7), (2, 40)])
+def test_components(spark, seed, part, monkeypatch):
+    monkeypatch.setattr(components_module, "PART", part)
     rng = random.Random(seed)
     links = [(i, i + 1) for i in range(40)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(30)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
     parent = {n: n for pair in links for n in pair}
@@ -68,10 +70,20 @@ def test_exact_duplicates(docs, rows, empty, block):
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
     if block == 8192:
         stay = exact_dedup.drop_exact_copies(docs)
+        assert {tuple(r) for r in stay.collect()} <= {tuple(r) for r in docs.collect()}
         assert stay.columns == docs.columns and Counter(r.text or "" for r in stay.collect()) == Counter(groups) .__class__(dict.fromkeys(groups, 1))
         assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0
 
 
+def test_repeated_rows_with_other_columns(spark):
+    """Of rows with one doc_id and text, the one whose columns come first stays."""
+    rows = [(1, "same", 9), (1, "same", 4), (None, None, 7), (None, "", 2), (0, "same", 1)]
+    out = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string, other long"))
+    assert collected(out, "doc_id", "text", "other") == sorted([(1, "same", 4), (None, None, 7)], key=repr)
+    maps = spark.createDataFrame(rows, "doc_id long, text string, other long").withColumn("m", F.create_map(F.lit("k"), F.col("other")))
+    assert {r.other for r in exact_dedup.drop_exact_copies(maps).collect()} == {4, 7}
+
+
 def test_blocks_in_another_order_are_other_texts(spark):
     a, b = "x" * 16, "y" * 16
     texts = [a + b, b + a, a + b, a, a + a, a + a + b, a + a + a, a + "x", a + a + b]
@@ -118,7 +130,7 @@ def test_near_duplicates(docs, rows, empty):
 
 def test_chains_and_spread_families(spark, monkeypatch):
     """Families whose members mostly aren't near each other: links must be found beyond a bucket's leader."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
     rng = random.Random(9)
     rows, doc = [], 0
     for _ in range(3):
@@ -217,18 +229,43 @@ def test_other_slices_are_an_error():
 # Mixing
 
 
+def quantile(u, mean):
+    """The least k whose Poisson distribution function is above u."""
+    k, term = 0, -mean
+    total = math.exp(term)
+    while total <= u and mean:
+        k += 1
+        term += math.log(mean) - math.log(k)
+        total += math.exp(term)
+    return k
+
+
 def test_poisson_inversion(spark):
-    for mean in (0.0, 0.3, 2.5, 40.0, 900.0):
+    for mean in (0.0, 0.3, 2.5, 40.0, 64.0):
         us = [i / 997 + 0.0003 for i in range(0, 996, 7)]
         df = spark.createDataFrame([(u,) for u in us], "u double").withColumn("steps", mixing.poisson_steps(F.lit(mean)))
         got = {r.u: r.k for r in df.select("u", mixing.inverse_poisson(F.col("u"), F.col("steps")).alias("k")).collect()}
-        for u, k in got.items():
-            total, term, want = math.exp(-mean) if mean < 700 else 0.0, -mean, 0
-            while total <= u and mean:
-                want += 1
-                term += math.log(mean) - math.log(want)
-                total += math.exp(term)
-            assert abs(k - want) <= (1 if mean > 100 else 0), (mean, u)
+        assert got == {u: quantile(u, mean) for u in us}
+
+
+@pytest.mark.parametrize(("mean", "n"), [(64.5, 200), (900.0, 200), (1e6, 12)])
+def test_counts_of_large_means(spark, mean, n):
+    """Each count is the sum of the inverses of its parts, exactly; its mean and variance are those of the whole."""
+    row = F.lit(mean)
+    df = spark.range(n).withColumn("parts", mixing.parts_of(row)).withColumn("steps", mixing.poisson_steps(row / F.col("parts")))
+    us = F.transform(F.sequence(F.lit(1).cast("long"), F.col("parts")), lambda i: mixing.uniform(F.lit(3), F.col("id"), i))
+    found = df.select("parts", F.size("steps").alias("size"), us.alias("us"), mixing.copies(F.col("parts"), F.col("steps"), F.lit(3), F.col("id")).alias("k")).collect()
+    for r in found:
+        assert mean / 64 <= r.parts < mean / 32 and r.size < 250
+        table = [0.0]
+        for j in range(r.size):  # the distribution function of a part, from the definition
+            table.append(table[-1] + math.exp(-mean / r.parts + j * math.log(mean / r.parts) - math.lgamma(j + 1)))
+        near = [u for u in r.us if min(abs(u - t) for t in table) < 1e-11] if len(r.us) < 100 else []
+        assert not near and r.k == sum(int(np.searchsorted(table[1:], u, "right")) for u in r.us)
+    counts = [r.k for r in found]
+    assert abs(np.mean(counts) - mean) < 5 * (mean / n) ** 0.5
+    if n > 100:
+        assert 0.6 < np.var(counts) / mean < 1.5
 
 
 def test_mixing_reaches_its_weights(spark, docs, empty):
@@ -247,7 +284,9 @@ def test_mixing_reaches_its_weights(spark, docs, empty):
     again = mixing.mix_sources(table.repartition(9), {"src0": 0.2, "src1": 0.4}, epochs=1.5, partitions=3)
     assert [(r.mix_key, r.doc_id) for r in again.collect()] == [(r.mix_key, r.doc_id) for r in found]
     kept = mixing.mix_sources(docs, {"src0": 1.0})
-    assert set(docs.columns) - {"mix_key"} <= set(kept.columns) and kept.count() > 0
+    assert kept.columns == [*docs.columns, "mix_rate", "mix_copies", "mix_copy", "mix_key_"]
+    given = {tuple(r[:-4]) for r in kept.collect()}
+    assert given and given <= {tuple(r) for r in docs.collect()}  # columns of clashing names keep their values
     assert mixing.mix_sources(empty, {"src0": 1.0}).count() == 0
 
 
@@ -314,7 +353,7 @@ def test_pipeline_stages(spark, docs, rows, labels, empty, tmp_path):
     unique = corpus_pipeline.drop_exact_copies(spark, docs, str(tmp_path))
     near = corpus_pipeline.drop_near_copies(spark, unique, str(tmp_path))
     left = [(r.doc_id, r.text) for r in unique.collect()]
-    want = Counter(d for d, _, c in components_of(left, 5) if d == c)
+    want = Counter(d for d, _, c in components_of(left, 4) if d == c)
     assert Counter(r.doc_id for r in near.collect()) == want and near.columns == docs.columns
     mixed = corpus_pipeline.mix_sources(spark, near, str(tmp_path))
     assert mixed.columns == docs.columns

@@ -1,7 +1,9 @@
 """Operator 3, mixing sources to target weights: Poisson replication.
 
 A source with target weight w and share s of the rows gets the mean repetition rate w / s times ``epochs``. A document's
-count is the inverse of the Poisson distribution with that mean at a uniform number taken from a seeded hash of its id.
+count is the inverse of the Poisson distribution with that mean at a uniform number taken from a seeded hash of its id. A mean beyond
+``MEAN`` is halved often enough that it fits, in equal parts: the count is then the sum of the parts' inverses at numbers of their own, which has the same
+distribution. So a source's table of the distribution function has a bounded length, whatever its rate.
 Each document is exploded by its count and every copy goes to a place given by a hash of (seed, id, copy): a global
 shuffle that any run repeats. All of it is built-in DataFrame functions.
 
@@ -12,7 +14,7 @@ the rows of the large side salted.
 
 Defined cases: a null source is a source of its own; a null text is replicated like others; a null doc_id has the hash
 of null and thus one count for all such rows of a source; repeated rows get the same count; an empty table gives no rows;
-other columns, of whatever name, are passed through by the pipeline's form.
+other columns, of whatever name, are passed through: where one has the name of a column of the operator, that one gets an underscore.
 """
 
 from __future__ import annotations
@@ -22,10 +24,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.joins import every, fresh, quoted
+
 BROADCAST_SOURCES = 10_000
 SALTS = 64
+# The largest mean that is inverted at once.
+MEAN = 64
 # Names the operator uses; the first four are in its result.
-OWN = ("mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_source", "mix_steps", "mix_salt", "mix_salt_")
+OWN = ("mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_source", "mix_parts", "mix_steps", "mix_salt", "mix_slot")
 
 
 def uniform(*parts: Column) -> Column:
@@ -51,6 +57,17 @@ def inverse_poisson(u: Column, steps: Column) -> Column:
     return F.size(F.filter(steps, lambda c: c <= u))
 
 
+def parts_of(mean: Column) -> Column:
+    """Equal parts, a power of two of them, in which ``mean`` is at most MEAN each."""
+    return F.when(mean > MEAN, F.pow(F.lit(2.0), F.ceil(F.log2(mean / MEAN)))).otherwise(1.0).cast("long")
+
+
+def copies(parts: Column, steps: Column, *key: Column) -> Column:
+    """The count of a document whose key is ``key``; ``steps``: distribution function of one part."""
+    drawn = F.aggregate(F.sequence(F.lit(1).cast("long"), parts), F.lit(0).cast("long"), lambda total, i: total + inverse_poisson(uniform(*key, i), steps))
+    return F.when(parts > 1, drawn).otherwise(inverse_poisson(uniform(*key), steps)).cast("int")
+
+
 def source_rates(docs: DataFrame, weights: Mapping[str, float], other: float = 1.0, epochs: float = 1.0) -> DataFrame:
     """Rows, mean repetition rate and distribution of each source."""
     counts = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n_docs"))
@@ -61,38 +78,40 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float], other: float = 1
     whole = sum(weights.values()) + (other * rest / n if n else 0)
     weight = F.coalesce("named", F.lit(other) * F.col("n_docs") / F.lit(max(n, 1)))
     rate = F.lit(float(epochs)) * (weight / F.lit(whole or 1.0)) / (F.col("n_docs") / F.lit(max(n, 1)))
-    return counts.select("source", "n_docs", rate.alias("rate")).withColumn("steps", poisson_steps(F.col("rate")))
+    rates = counts.select("source", "n_docs", rate.alias("rate")).withColumn("parts", parts_of(F.col("rate")))
+    return rates.withColumn("steps", poisson_steps(F.col("rate") / F.col("parts")))
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float], other: float = 1.0, epochs: float = 1.0, seed: int = 17, partitions: int | None = None) -> DataFrame:
     """All copies, dealt and sorted in their global random order.
 
     Beside the columns of ``docs`` the result has mix_rate, mix_copies, mix_copy (from 0) and mix_key, by which it is sorted
-    over all partitions. Columns of ``docs`` whose names are in OWN go.
+    over all partitions.
     """
+    rate, count, copy, key, source, parts, steps, salt, slot = (fresh(docs, name) for name in OWN)
+    doc_id = quoted("doc_id")
     rates = source_rates(docs, weights, other, epochs).persist()
     try:
         small = rates.count() <= BROADCAST_SOURCES
-        names = [c for c in docs.columns if c.lower() not in OWN]
-        rows = docs.select(*(F.col(f"`{c}`") for c in names))
-        right = rates.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.col("steps").alias("mix_steps"))
+        right = rates.select(F.col("source").alias(source), F.col("rate").alias(rate), F.col("parts").alias(parts), F.col("steps").alias(steps))
+        same = quoted("source").cast("string").eqNullSafe(F.col(source))
         if small:
             bounded = rates.sparkSession.createDataFrame(right.toArrow())  # at most BROADCAST_SOURCES rows
-            rows = rows.join(F.broadcast(bounded), F.col("source").eqNullSafe(F.col("mix_source")))
+            rows = docs.join(F.broadcast(bounded), same)
         else:
-            rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64(F.lit(seed), F.lit("salt"), "doc_id"), F.lit(SALTS)))
-            right = right.withColumn("mix_salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-            rows = rows.join(right, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_salt") == F.col("mix_salt_"))).drop("mix_salt", "mix_salt_")
+            rows = docs.withColumn(salt, F.pmod(F.xxhash64(F.lit(seed), F.lit("salt"), doc_id), F.lit(SALTS)))
+            right = right.withColumn(slot, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+            rows = rows.join(right, same & (F.col(salt) == F.col(slot)))
     finally:
         rates.unpersist()
-    rows = rows.withColumn("mix_copies", inverse_poisson(uniform(F.lit(seed), F.col("doc_id")), F.col("mix_steps")))
-    rows = rows.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    rows = rows.withColumn("mix_key", F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "mix_copy")).drop("mix_source", "mix_steps")
+    rows = rows.select(*every(docs), rate, copies(F.col(parts), F.col(steps), F.lit(seed), doc_id).alias(count))
+    rows = rows.where(F.col(count) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
+    rows = rows.withColumn(key, F.xxhash64(F.lit(seed), F.lit("order"), doc_id, F.col(copy)))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Keys are even over the signed 64-bit range, so equal ranges need no sampling pass.
-    share = F.pmod(F.shiftrightunsigned("mix_key", 11).cast("double") / F.lit(float(1 << 53)) + 0.5, F.lit(1.0))
+    share = F.pmod(F.shiftrightunsigned(key, 11).cast("double") / F.lit(float(1 << 53)) + 0.5, F.lit(1.0))
     place = F.least(F.floor(share * n), F.lit(n - 1)).cast("int")
-    return rows.repartitionById(n, place).sortWithinPartitions("mix_key", "doc_id", "mix_copy")
+    return rows.repartitionById(n, place).sortWithinPartitions(F.col(key), doc_id, F.col(copy))
 
 
 def mixing_digest(docs: DataFrame, weights: Mapping[str, float]) -> DataFrame:

@@ -9,10 +9,10 @@ Documents with equal texts form a class, and only classes are compared. Bands of
 1. In each bucket of a band every class is paired with the bucket's smallest. Pairs are first estimated from the registers
    (collision-corrected; pairs more than five standard errors below the threshold go) and then verified on full sets.
 2. Components of the links found are formed. A bucket whose classes all lie in one component is done: more links in it
-   can't change the result. Otherwise each class outside the leader's component meets, in blocks of bounded size, the classes
-   of other components. Pairs that the estimate leaves open, each in the first band it shares, only mark their members;
-   the members' full sets meet in the same blocks, where all intersections are counted at once, and a link is returned only where it joins
-   two components.
+   can't change the result. Otherwise the classes outside the leader's component meet, in tiles of bounded size, the classes
+   of other components whose set sizes are near enough to theirs. Pairs that the estimate leaves open, each in the first band it shares, only mark
+   their members; the members' full sets meet in the same tiles, where all intersections are counted at once, and a link is returned only
+   where it joins two components.
 
 So no bucket is capped and no pairs are listed but those with a bucket's leader. Shingle sets are compared as sets of 64-bit hashes.
 
@@ -25,6 +25,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
@@ -34,11 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.joins import HOT_PARTS, join_groups, stored, written
+from tidemark.llm.joins import HOT_PARTS, fresh, join_groups, quoted, stored, written
 from tidemark.llm.textkit import BLANKS, Words, grams, lower_ascii, map_slices, mix, raw_bytes, slices, text_of
 
 REGISTERS, MANTISSA, BAND = 128, 10, 4
 CHUNK, BLOCK, COLUMNS = 256, 512, 4096
+TILE = ("bucket", "level", "block", "part")
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -178,60 +180,90 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int) -
     return map_slices(dealt, run, "a long, b long")
 
 
-def open_members(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Who takes part in a pair that is still open: one bucket, different components, not refuted by the estimate.
+def size_level(size: Column, threshold: int) -> Column:
+    """Sets can only be alike enough if they are of one level or of two next to each other."""
+    ratio = 0.99 * min(threshold, 99) / 100  # a little wider than need be, for rounding
+    return F.floor(F.log(size.cast("double")) / F.lit(-math.log(ratio))).cast("long")
+
 
-    The classes of a bucket fall into blocks of about BLOCK; those outside the leader's component ask in every block.
-    A pair is looked at only in the first band that it shares. Returns members (bucket, block, asks, node, component), never pairs.
+def tiles(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Rows (bucket, level, block, part, asks, ...) of open buckets: ``part`` of those that ask meets ``block`` of those that are held.
+
+    Members of a bucket are held in the blocks of their size level, about BLOCK in each. Those outside the leader's component ask in
+    all blocks of the levels next to their own, in parts of about BLOCK. So a tile's rows are bounded, whatever the bucket's size.
     """
     named = members.where("n > 2").join(labels.withColumnRenamed("root", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     leaders = labels.select(F.col("node").alias("leader"), F.col("root").alias("leader_component"))
-    named = named.join(leaders, "leader", "left").withColumn("leader_component", F.coalesce("leader_component", "leader"))
-    named = stored(named.withColumn("outside", F.col("component") != F.col("leader_component")).select("bucket", "band", "node", "leader", "n", "component", "outside"))
+    named = named.join(leaders, "leader", "left").withColumn("outside", F.col("component") != F.coalesce("leader_component", "leader"))
+    named = stored(named.select("bucket", "band", "node", "leader", "n", "component", "outside"))
     total = named.count()
     open_buckets = named.where("outside").groupBy("bucket").agg(F.max("n").alias("size"))
-    within = join_groups(named, open_buckets, "bucket", "size", max(total, 1)).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    within = within.join(classes.select("node", "n_shingles", "registers"), "node")
-    blocks = within.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("asks", F.lit(False))
-    asking = within.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["bucket", "block", "asks", "node", "leader", "component", "n_shingles", "registers", "band"]
-    dealt = blocks.select(columns).unionByName(asking.select(columns)).repartition(partitions, "bucket", "block").sortWithinPartitions("bucket", "block", "asks", "node")
+    within = join_groups(named, open_buckets, "bucket", "size", max(total, 1)).drop("size").join(classes.select("node", "n_shingles", "registers"), "node")
+    within = stored(within.withColumn("level", size_level(F.col("n_shingles"), threshold)))
+    near = within.where("outside").select("bucket", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"))
+    held = within.groupBy("bucket", "level").agg(F.count("*").alias("held"))
+    asked = near.groupBy("bucket", "level").agg(F.count("*").alias("asking"))
+    cut_up = stored(held.join(asked, ["bucket", "level"]).withColumn("key", F.xxhash64("bucket", "level")).withColumn("rows", F.col("held") + F.col("asking")))
+    shape = cut_up.select("key", "rows", F.ceil(F.col("held") / BLOCK).alias("blocks"), F.ceil(F.col("asking") / BLOCK).alias("parts"))
+    columns = ["bucket", "level", "block", "part", "asks", "outside", "node", "leader", "component", "n_shingles", "registers", "band"]
+    holding = join_groups(within.withColumn("key", F.xxhash64("bucket", "level")), shape, "key", "rows", max(total, 1))
+    holding = holding.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("asks", F.lit(False))
+    asking = within.where("outside").withColumn("level", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)))
+    asking = join_groups(asking.withColumn("key", F.xxhash64("bucket", "level")), shape, "key", "rows", max(total, 1))
+    asking = asking.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), "parts")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    return holding.select(columns).unionByName(asking.select(columns))
+
+
+def dealt_tiles(rows: DataFrame) -> DataFrame:
+    """Each tile's rows together, those that are held first."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *TILE).sortWithinPartitions(*TILE, "asks", "node")
+
+
+def open_members(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Who takes part in a pair that is still open: one bucket, different components, not refuted by the estimate.
+
+    A pair is looked at only in the first band that it shares, and from one side. Returns members of tiles, never pairs.
+    """
+    dealt = dealt_tiles(tiles(members, labels, classes, threshold))
     least = cut(threshold / 100)
+    columns = [*TILE, "asks", "node", "leader", "component", "n_shingles", "band", "outside"]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            registers = np.array([np.frombuffer(r, ">u2") for r in batch.column("registers").to_pylist()], np.uint16)
+            yield from zip(zip(*(batch.column(c).to_pylist() for c in TILE), strict=True), *(batch.column(c).to_pylist() for c in columns[len(TILE) :]), registers, strict=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket, block), group in groupby(rows(batches), key=lambda r: r[:2]):
+        for tile, group in groupby(rows(batches), key=lambda r: r[0]):
             held: list[tuple] = []
             matrix = None
             askers: list[tuple[int, int]] = []
-            for row in group:
-                if not row[2]:
-                    held.append(row)
+            for _, asks, node, leader, component, size, band, outside, registers in group:
+                if not asks:
+                    held.append((node, component, size, outside, registers))
                     continue
                 if not held:
                     break
                 if matrix is None:
-                    matrix = np.array([np.frombuffer(r[7], ">u2") for r in held])
-                    nodes, parts, sizes = (np.array([r[k] for r in held]) for k in (3, 5, 6))
+                    matrix = np.array([r[4] for r in held])
+                    nodes, parts, sizes, both = (np.array([r[k] for r in held]) for k in range(4))
                     wanted = np.zeros(len(held), bool)
-                same = matrix == np.frombuffer(row[7], ">u2")
+                same = matrix == registers
                 equal = same.sum(1)
                 first_band = same.reshape(len(held), -1, BAND).all(2).argmax(1)
-                likely = np.flatnonzero((equal >= least * REGISTERS) & (parts != row[5]) & (nodes != row[4]) & (first_band == row[8]) & (100 * np.minimum(sizes, row[6]) >= threshold * np.maximum(sizes, row[6])))
-                likely = likely[estimate(equal[likely], sizes[likely], np.full(len(likely), row[6])) >= least]
+                likely = (equal >= least * REGISTERS) & (parts != component) & (nodes != leader) & (first_band == band) & (100 * np.minimum(sizes, size) >= threshold * np.maximum(sizes, size))
+                likely = np.flatnonzero(likely & (~both | (nodes < node)))  # of two that ask, the larger does
+                likely = likely[estimate(equal[likely], sizes[likely], np.full(len(likely), size)) >= least]
                 if len(likely):
                     wanted[likely] = True
-                    askers.append((row[3], row[5]))
+                    askers.append((node, component))
             if askers:
-                found = [(bucket, block, False, n, c) for n, c in zip(nodes[wanted].tolist(), parts[wanted].tolist(), strict=True)] + [(bucket, block, True, n, c) for n, c in askers]
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["bucket", "block", "asks", "node", "component"])
+                found = [(*tile, False, n, c) for n, c in zip(nodes[wanted].tolist(), parts[wanted].tolist(), strict=True)] + [(*tile, True, n, c) for n, c in askers]
+                kinds = [*[pa.int64()] * len(TILE), pa.bool_(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [*TILE, "asks", "node", "component"])
 
-    return dealt.mapInArrow(run, "bucket long, block long, asks boolean, node long, component long")
+    return dealt.mapInArrow(run, "bucket long, level long, block long, part long, asks boolean, node long, component long")
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -252,51 +284,45 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def open_links(found: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
     """Links between different components among open members, verified on full sets; one per pair of components and block at most."""
-    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["bucket", "block", "asks", "node", "component", "text"]
-    dealt = found.join(texts.select("node", "text"), "node").select(columns).repartition(partitions, "bucket", "block").sortWithinPartitions("bucket", "block", "asks", "node")
+    columns = [*TILE, "asks", "node", "component", "text"]
+    dealt = dealt_tiles(found.join(texts.select("node", "text"), "node").select(columns))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for piece in slices(batch):
                 hashes, bounds = shingle_sets(text_of(piece), shingle)
                 sets = [hashes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield from zip(*(piece.column(c).to_pylist() for c in columns[:-1]), sets, strict=True)
+                yield from zip(zip(*(piece.column(c).to_pylist() for c in TILE), strict=True), *(piece.column(c).to_pylist() for c in ("asks", "node", "component")), sets, strict=True)
+
+    def compare(askers: list[tuple], held: list[tuple]) -> Iterator[tuple[int, int]]:
+        joined: dict[int, int] = {}
 
-    def compare(askers: list[tuple], held: list[tuple], joined: dict[int, int]) -> Iterator[tuple[int, int]]:
         def root(c: int) -> int:
             while joined.get(c, c) != c:
                 c = joined[c]
             return c
 
-        shared = common([r[5] for r in askers], [r[5] for r in held])
-        union = np.array([len(r[5]) for r in askers])[:, None] + np.array([len(r[5]) for r in held])[None, :] - shared
+        shared = common([r[-1] for r in askers], [r[-1] for r in held])
+        union = np.array([len(r[-1]) for r in askers])[:, None] + np.array([len(r[-1]) for r in held])[None, :] - shared
         for i, j in np.argwhere(100 * shared >= threshold * union).tolist():
-            a, b = root(askers[i][4]), root(held[j][4])
+            a, b = root(askers[i][3]), root(held[j][3])
             if a != b:
                 joined[a] = b
-                yield min(askers[i][3], held[j][3]), max(askers[i][3], held[j][3])
+                yield min(askers[i][2], held[j][2]), max(askers[i][2], held[j][2])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in groupby(rows(batches), key=lambda r: r[:2]):
+        for _, group in groupby(rows(batches), key=lambda r: r[0]):
             held: list[tuple] = []
             asking: list[tuple] = []
-            joined: dict[int, int] = {}
-            links: list[tuple[int, int]] = []
             for row in group:
-                (asking if row[2] else held).append(row)
-                if len(asking) == BLOCK:
-                    links += compare(asking, held, joined)
-                    asking = []
-            if asking and held:
-                links += compare(asking, held, joined)
-            if links:
+                (asking if row[1] else held).append(row)
+            if asking and held and (links := list(compare(asking, held))):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 80, shingle: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 80, shingle: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; ``threshold``: least similarity of a link in percent."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(sketch_documents(docs, shingle))
@@ -339,7 +365,8 @@ def labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame, total: int)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame, threshold: int = 80, shingle: int = 5) -> DataFrame:
+def drop_near_copies(docs: DataFrame, threshold: int = 80, shingle: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id stays, unchanged."""
-    stay = near_duplicates(docs, threshold, shingle).where("kept").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay_id")), "left_semi")
+    stay_id = fresh(docs, "stay_id")
+    stay = near_duplicates(docs, threshold, shingle).where("kept").select(F.col("doc_id").alias(stay_id)).distinct()
+    return docs.join(stay, quoted("doc_id").cast("long").eqNullSafe(F.col(stay_id)), "left_semi")
