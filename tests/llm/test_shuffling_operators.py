@@ -49,7 +49,7 @@ def test_components(spark, seed, part, monkeypatch):
     for a, b in links:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long").repartition(9)).collect()}
     assert got == {n: root(n) for a, b in links if a != b for n in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -128,9 +128,12 @@ def test_near_duplicates(docs, rows, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_chains_and_spread_families(spark, monkeypatch):
+@pytest.mark.parametrize("families", [True, False])
+def test_chains_and_spread_families(spark, monkeypatch, families):
     """Families whose members mostly aren't near each other: links must be found beyond a bucket's leader."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    if not families:  # bucket by bucket
+        monkeypatch.setattr(near_dedup, "FAMILY", -1)
     rng = random.Random(9)
     rows, doc = [], 0
     for _ in range(3):

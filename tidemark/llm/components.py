@@ -19,7 +19,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def forests(links: DataFrame, parts: int) -> DataFrame:
-    """Edges (u, v) from each node to the smallest one of its component among the links (a, b) of one of ``parts`` even parts."""
+    """Edges (u, v) from each node to the smallest one of its component among the links (a, b) of one of ``parts`` parts at most."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above: dict[int, int] = {}
@@ -40,13 +40,13 @@ def forests(links: DataFrame, parts: int) -> DataFrame:
         edges = [(u, v) for u, v in edges if u != v]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)] if edges else [pa.array([], pa.int64())] * 2, ["u", "v"])
 
-    return links.repartition(parts, F.xxhash64("a", "b")).mapInArrow(run, "u long, v long")
+    return links.coalesce(parts).mapInArrow(run, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links`` (a, b: longs, each pair about once); root is the smallest node of its component.
+    """(node, root) of every node of ``links`` (a, b: longs, stored); root is the smallest node of its component.
 
-    Even parts of at most about PART links are joined to stars by one task each. Where there is more than one part, steps
+    Parts of about PART links, whole partitions of ``links``, are joined to stars by one task each. Where there is more than one part, steps
     follow that connect nodes to the smallest neighbour, so that paths shrink to stars in a number of rounds that grows with the
     logarithm of the component's size. Nodes with very many neighbours are joined by ``join_groups``.
     """

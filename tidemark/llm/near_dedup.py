@@ -9,10 +9,10 @@ Documents with equal texts form a class, and only classes are compared. Bands of
 1. In each bucket of a band every class is paired with the bucket's smallest. Pairs are first estimated from the registers
    (collision-corrected; pairs more than five standard errors below the threshold go) and then verified on full sets.
 2. Components of the links found are formed. A bucket whose classes all lie in one component is done: more links in it
-   can't change the result. Otherwise the classes outside the leader's component meet, in tiles of bounded size, the classes
-   of other components whose set sizes are near enough to theirs. Pairs that the estimate leaves open, each in the first band it shares, only mark
-   their members; the members' full sets meet in the same tiles, where all intersections are counted at once, and a link is returned only
-   where it joins two components.
+   can't change the result. Other buckets that share classes form families; a family is compared as one group, or bucket by bucket where
+   that takes fewer comparisons. In each group the classes outside its leading component meet, in tiles of bounded size, the classes of other
+   components whose set sizes are near enough to theirs. Pairs that the estimate leaves open only mark their members; the members' full sets meet in
+   the same tiles, where all intersections are counted at once, and a link is returned only where it joins two components.
 
 So no bucket is capped and no pairs are listed but those with a bucket's leader. Shingle sets are compared as sets of 64-bit hashes.
 
@@ -40,7 +40,9 @@ from tidemark.llm.textkit import BLANKS, Words, grams, lower_ascii, map_slices,
 
 REGISTERS, MANTISSA, BAND = 128, 10, 4
 CHUNK, BLOCK, COLUMNS = 256, 512, 4096
-TILE = ("bucket", "level", "block", "part")
+# A family is compared as one group if that takes at most so many times the comparisons of its buckets.
+FAMILY = 1
+TILE = ("grp", "level", "block", "part")
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -186,31 +188,53 @@ def size_level(size: Column, threshold: int) -> Column:
     return F.floor(F.log(size.cast("double")) / F.lit(-math.log(ratio))).cast("long")
 
 
-def tiles(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Rows (bucket, level, block, part, asks, ...) of open buckets: ``part`` of those that ask meets ``block`` of those that are held.
+def open_groups(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """Rows (grp, band, node, leader, component, outside) of the groups in which links may still be missing.
 
-    Members of a bucket are held in the blocks of their size level, about BLOCK in each. Those outside the leader's component ask in
-    all blocks of the levels next to their own, in parts of about BLOCK. So a tile's rows are bounded, whatever the bucket's size.
+    A bucket is open if some class lies outside its leader's component. Open buckets that share classes form a family. Its classes
+    are compared once, as one group with band -1, if that takes no more comparisons than all its buckets do; else its buckets are.
     """
     named = members.where("n > 2").join(labels.withColumnRenamed("root", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     leaders = labels.select(F.col("node").alias("leader"), F.col("root").alias("leader_component"))
     named = named.join(leaders, "leader", "left").withColumn("outside", F.col("component") != F.coalesce("leader_component", "leader"))
     named = stored(named.select("bucket", "band", "node", "leader", "n", "component", "outside"))
-    total = named.count()
-    open_buckets = named.where("outside").groupBy("bucket").agg(F.max("n").alias("size"))
-    within = join_groups(named, open_buckets, "bucket", "size", max(total, 1)).drop("size").join(classes.select("node", "n_shingles", "registers"), "node")
+    buckets = named.where("outside").groupBy("bucket").agg(F.max("n").alias("size"), F.max("leader").alias("head"), (F.max("n") * F.count("*")).alias("cost"))
+    within = stored(join_groups(named, buckets.select("bucket", "size"), "bucket", "size", total).drop("size", "n"))
+    family = stored(components(stored(within.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()))).withColumnRenamed("root", "family")
+    nodes = within.select("node", "component").distinct().join(family, "node")
+    shares = nodes.groupBy("family", "component").agg(F.count("*").alias("share"))
+    size = shares.groupBy("family").agg(F.max(F.struct("share", "component")).alias("main"), F.sum("share").alias("size"))
+    costs = buckets.join(family, F.col("head") == F.col("node")).groupBy("family").agg(F.sum("cost").alias("cost"))
+    choice = size.join(costs, "family").select("family", "size", F.col("main.component").alias("main"), (F.col("size") * (F.col("size") - F.col("main.share")) <= FAMILY * F.col("cost")).alias("whole"))
+    nodes = stored(join_groups(nodes, stored(choice), "family", "size", total))
+    whole = nodes.where("whole").select(F.col("family").alias("grp"), F.lit(-1).alias("band"), "node", F.lit(-1).cast("long").alias("leader"), "component", (F.col("component") != F.col("main")).alias("outside"))
+    single = within.join(nodes.where("not whole").select("node"), "node", "left_semi")
+    return whole.unionByName(single.withColumnRenamed("bucket", "grp"))
+
+
+def tiles(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Rows (grp, level, block, part, asks, ...) of open groups: ``part`` of those that ask meets ``block`` of those that are held.
+
+    Members of a group are held in the blocks of their size level, about BLOCK in each. Those outside its leading component ask in
+    all blocks of the levels next to their own, in parts of about BLOCK. So a tile's rows are bounded, whatever the group's size.
+    """
+    total = max(members.count(), 1)
+    within = open_groups(members, labels, total).join(classes.select("node", "n_shingles", "registers"), "node")
     within = stored(within.withColumn("level", size_level(F.col("n_shingles"), threshold)))
-    near = within.where("outside").select("bucket", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"))
-    held = within.groupBy("bucket", "level").agg(F.count("*").alias("held"))
-    asked = near.groupBy("bucket", "level").agg(F.count("*").alias("asking"))
-    cut_up = stored(held.join(asked, ["bucket", "level"]).withColumn("key", F.xxhash64("bucket", "level")).withColumn("rows", F.col("held") + F.col("asking")))
-    shape = cut_up.select("key", "rows", F.ceil(F.col("held") / BLOCK).alias("blocks"), F.ceil(F.col("asking") / BLOCK).alias("parts"))
-    columns = ["bucket", "level", "block", "part", "asks", "outside", "node", "leader", "component", "n_shingles", "registers", "band"]
-    holding = join_groups(within.withColumn("key", F.xxhash64("bucket", "level")), shape, "key", "rows", max(total, 1))
-    holding = holding.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("asks", F.lit(False))
-    asking = within.where("outside").withColumn("level", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)))
-    asking = join_groups(asking.withColumn("key", F.xxhash64("bucket", "level")), shape, "key", "rows", max(total, 1))
-    asking = asking.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), "parts")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    near = F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1))
+    held = within.groupBy("grp", "level").agg(F.count("*").alias("held"))
+    asked = within.where("outside").select("grp", near.alias("level")).groupBy("grp", "level").agg(F.count("*").alias("asking"))
+    key = F.xxhash64("grp", "level").alias("key")
+    shape = stored(held.join(asked, ["grp", "level"]).select(key, (F.col("held") + F.col("asking")).alias("rows"), F.ceil(F.col("held") / BLOCK).alias("blocks"), F.ceil(F.col("asking") / BLOCK).alias("parts")))
+
+    def all_of(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    columns = [*TILE, "asks", "outside", "node", "leader", "component", "n_shingles", "registers", "band"]
+    holding = join_groups(within.select("*", key), shape, "key", "rows", total)
+    holding = holding.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("part", all_of("parts")).withColumn("asks", F.lit(False))
+    asking = join_groups(within.where("outside").withColumn("level", near).select("*", key), shape, "key", "rows", total)
+    asking = asking.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), "parts")).withColumn("block", all_of("blocks")).withColumn("asks", F.lit(True))
     return holding.select(columns).unionByName(asking.select(columns))
 
 
@@ -223,7 +247,7 @@ def dealt_tiles(rows: DataFrame) -> DataFrame:
 def open_members(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Who takes part in a pair that is still open: one bucket, different components, not refuted by the estimate.
 
-    A pair is looked at only in the first band that it shares, and from one side. Returns members of tiles, never pairs.
+    A pair is looked at once in a family, or only in the first band that it shares, and from one side. Returns members of tiles, never pairs.
     """
     dealt = dealt_tiles(tiles(members, labels, classes, threshold))
     least = cut(threshold / 100)
@@ -252,7 +276,7 @@ def open_members(members: DataFrame, labels: DataFrame, classes: DataFrame, thre
                 same = matrix == registers
                 equal = same.sum(1)
                 first_band = same.reshape(len(held), -1, BAND).all(2).argmax(1)
-                likely = (equal >= least * REGISTERS) & (parts != component) & (nodes != leader) & (first_band == band) & (100 * np.minimum(sizes, size) >= threshold * np.maximum(sizes, size))
+                likely = (equal >= least * REGISTERS) & (parts != component) & (nodes != leader) & ((first_band == band) | (band < 0)) & (100 * np.minimum(sizes, size) >= threshold * np.maximum(sizes, size))
                 likely = np.flatnonzero(likely & (~both | (nodes < node)))  # of two that ask, the larger does
                 likely = likely[estimate(equal[likely], sizes[likely], np.full(len(likely), size)) >= least]
                 if len(likely):
@@ -263,7 +287,7 @@ def open_members(members: DataFrame, labels: DataFrame, classes: DataFrame, thre
                 kinds = [*[pa.int64()] * len(TILE), pa.bool_(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [*TILE, "asks", "node", "component"])
 
-    return dealt.mapInArrow(run, "bucket long, level long, block long, part long, asks boolean, node long, component long")
+    return dealt.mapInArrow(run, "grp long, level long, block long, part long, asks boolean, node long, component long")
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
