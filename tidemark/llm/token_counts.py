@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +27,8 @@ CHUNK = re.compile(r"[^ \t\n\v\f\r]+")
 SCHEMA = "doc_id long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_tokens_after long, tree binary"
 # Fixed: what the default edits blank out.
 PERSONAL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+?\(?\d[\d ()./-]{7,}\d")
+# Every match of PERSONAL holds one of these.
+HINT = re.compile(r"[@\d]")
 Edit = tuple[int, int, str]
 
 
@@ -58,7 +59,7 @@ class TokenTree:
 
 def personal_data(text: str) -> list[Edit]:
     """Edits that put a mark in place of mail addresses and telephone numbers."""
-    return [(m.start(), m.end(), "[removed]") for m in PERSONAL.finditer(text)]
+    return [(m.start(), m.end(), "[removed]") for m in PERSONAL.finditer(text)] if HINT.search(text) else []
 
 
 def apply_edits(text: str, tree: TokenTree, edits: Iterable[Edit], count: Callable[[str], int]) -> tuple[int, int]:
@@ -104,11 +105,8 @@ def edited(text: str, edits: Iterable[Edit]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None, edits: Callable[[str], list[Edit]] = personal_data, may_edit: str | None = r"[0-9@]") -> DataFrame:
-    """Counts before and after the edits, with each document's tree (node sums, little-endian 64-bit).
-
-    ``edits`` gives a text's edits; texts without a match of ``may_edit`` have none and aren't asked.
-    """
+def token_counts(docs: DataFrame, tokenizer: str | None = None, edits: Callable[[str], list[Edit]] = personal_data) -> DataFrame:
+    """Counts before and after the edits, with each document's tree (node sums, little-endian 64-bit). ``edits`` gives a text's edits."""
 
     def count(piece: pa.RecordBatch) -> pa.RecordBatch:
         encoder = load(tokenizer)
@@ -118,9 +116,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, edits: Callable[
         totals = np.diff(np.concatenate([[0], np.cumsum(counts)])[offsets])
         after, made, anew = totals.copy(), np.zeros(len(totals), np.int64), np.zeros(len(totals), np.int64)
         trees = [TokenTree(counts[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        asked = np.ones(len(totals), bool) if may_edit is None else pc.match_substring_regex(texts, may_edit).to_numpy(zero_copy_only=False).astype(bool)
-        for i in np.flatnonzero(asked).tolist():
-            text = texts[i].as_py()
+        for i, text in enumerate(texts.to_pylist()):
             if changes := edits(text):
                 made[i], anew[i] = apply_edits(text, trees[i], changes, lambda s: len(encoder.encode(s)))
                 after[i] = trees[i].total
