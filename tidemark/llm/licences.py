@@ -6,8 +6,8 @@ phrase ends at a word when its state is that word's state or an ancestor of it,
 Maximal matches of ``min_match`` words or more are chained, in order of both text and template, into covered spans.
 
 Defined cases: a null or empty text has 0 words, no labels and score 0; a null doc_id stays null; repeated rows are
-scanned each; an empty table gives no rows; other columns are not read; text without two known words in a row never
-reaches the automaton, as no phrase or chained match has fewer.
+scanned each; an empty table gives no rows; other columns are not read; a known word whose neighbours aren't its neighbours in any
+template reaches the automaton only where a phrase or the least match is one word long.
 """
 
 from __future__ import annotations
@@ -94,6 +94,8 @@ class LicenceScanner:
         self.lengths = [len(s) for s in strings]
         n = len(self.vocabulary)
         self.bigrams = np.unique([a * n + b for s in strings for a, b in zip(s, s[1:], strict=False)])
+        short = strings if self.min_match < 2 else [s for s in strings[: len(self.phrases)] if len(s) == 1]
+        self.alone = np.unique(np.concatenate([np.zeros(0, np.int64), *map(np.array, short)]))  # tokens that can match by themselves
         self.automaton = auto = SuffixAutomaton()
         prefixes = [auto.add(s) for s in strings]
         # Of each state: where its factors end in the templates, and the phrases that are suffixes of its longest factor.
@@ -117,14 +119,20 @@ class LicenceScanner:
         """Known tokens of a slice (-1: none) and the bounds of runs whose neighbours are neighbours in some template."""
         at = np.minimum(np.searchsorted(self.vocabulary, words.hash), len(self.vocabulary) - 1)
         tokens = np.where(self.vocabulary[at] == words.hash, at, -1)
-        if len(tokens) < 2:
-            return tokens, np.zeros(0, np.int64), np.zeros(0, np.int64)
         pairs = np.where((tokens[:-1] >= 0) & (tokens[1:] >= 0), tokens[:-1] * len(self.vocabulary) + tokens[1:], -1)
-        good = np.isin(pairs, self.bigrams)
         doc = words.doc_of()
-        good &= doc[:-1] == doc[1:]
+        good = np.isin(pairs, self.bigrams) & (doc[:-1] == doc[1:])
         edge = np.diff(good.astype(np.int8), prepend=0, append=0)
-        return tokens, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+        lows, highs = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+        if len(self.alone):
+            single = np.isin(tokens, self.alone)
+            single[:-1] &= ~good
+            single[1:] &= ~good
+            lows = np.concatenate([lows, np.flatnonzero(single)])
+            highs = np.concatenate([highs, np.flatnonzero(single) + 1])
+            order = np.argsort(lows)
+            lows, highs = lows[order], highs[order]
+        return tokens, lows, highs
 
     def scan(self, tokens: list[int], start: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
         """Phrase places (start, phrase) and maximal matches (start, end, state) of one run; ``start``: its first word's number."""
@@ -143,10 +151,15 @@ class LicenceScanner:
         spans: list[tuple[str, int, int, float]] = []
         open_: dict[int, list[list[int]]] = {}
         for start, end, state in sorted(matches):
-            for k, last in {k: at for k, at in reversed(self.ends[state]) if k >= len(self.phrases)}.items():
-                first = last + 1 - (end - start)
-                fits = [c for c in open_.get(k, ()) if start - c[1] <= self.max_gap and c[3] <= last]
-                best = max(fits, key=lambda c: c[2], default=None)
+            places: dict[int, list[int]] = {}
+            for k, at in self.ends[state]:
+                if k >= len(self.phrases):
+                    places.setdefault(k, []).append(at)
+            for k, lasts in places.items():
+                # Where the factor stands more than once in a template, the place that prolongs the best chain counts.
+                fits = [(c[2], -last, c) for last in lasts for c in open_.get(k, ()) if start - c[1] <= self.max_gap and c[3] <= last]
+                _, at, best = max(fits, key=lambda f: f[:2], default=(0, -min(lasts), None))
+                last, first = -at, 1 - at - (end - start)
                 new = [start, end, end - start, last + 1]
                 if best is not None:
                     overlap = max(0, best[1] - start, best[3] - first)
