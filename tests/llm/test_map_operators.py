@@ -261,6 +261,33 @@ def test_non_negative_risk_recovers_a_known_signal():
     assert np.mean(margins[:50]) > np.mean(margins[50:]) + 1 and np.median(margins[50:]) < 0
 
 
+def test_edits_reach_every_text(spark):
+    """Unicode digits, and edits of a caller's own on texts without digits."""
+    table = spark.createDataFrame([(1, "call \u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669 now"), (2, "no marks in here"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in token_counts.token_counts(table).collect()}
+    assert {d: r.n_edits for d, r in got.items()} == {1: 1, 2: 0, 3: 0}
+    assert got[1].n_tokens_after == len(load(None).encode("call [removed] now"))
+    own = {r.doc_id: r for r in token_counts.token_counts(table, edits=lambda t: [(0, 2, "some")] if t.startswith("no") else []).collect()}
+    assert {d: r.n_edits for d, r in own.items()} == {1: 0, 2: 1, 3: 0}
+    assert own[2].n_tokens_after == len(load(None).encode("some marks in here"))
+
+
+def test_phrases_and_matches_of_one_word(spark):
+    scanner = licences.LicenceScanner(phrases={"mit": "mit", "apache license": "apache"}, templates={"t": "alpha beta gamma"}, min_match=1)
+    table = spark.createDataFrame([(1, "the MIT one, mit"), (2, "apache"), (3, "apache license mit"), (4, "x gamma y"), (5, "mit")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(table, scanner).collect()}
+    assert {d: (r.n_base, r.first_word, r.last_word, r.base_labels) for d, r in got.items()} == {1: (2, 1, 3, ["mit"]), 2: (0, None, None, []), 3: (2, 0, 2, ["apache", "mit"]), 4: (0, None, None, []), 5: (1, 0, 0, ["mit"])}
+    assert [(s.label, s.start, s.end) for s in got[4].spans] == [("t", 1, 2)] and got[4].score == pytest.approx(1 / 3)
+    assert {r.doc_id: r.n_base for r in licences.scan_licences(table, licences.LicenceScanner(phrases={"mit": "mit"})).collect()} == {1: 2, 2: 0, 3: 1, 4: 0, 5: 1}
+
+
+def test_factor_with_several_places(spark):
+    """A factor that stands twice in a template prolongs the chain from its second place."""
+    scanner = licences.LicenceScanner(phrases={"zz yy": "z"}, templates={"t": "a b c d e f g h a b c d e"}, min_match=3)
+    one = licences.scan_licences(spark.createDataFrame([(1, "c d e f g x a b c")], "doc_id long, text string"), scanner).first()
+    assert [(s.start, s.end, round(s.covered, 4)) for s in one.spans] == [(0, 9, round(8 / 13, 4))]
+
+
 @pytest.mark.parametrize("make", [licences.licence_digest, packing.pack_digest, token_counts.token_counts])
 def test_partitions_do_not_matter_to_rows(docs, make):
     columns = [c for c in ("doc_id", "n_words", "labels", "doc_tokens", "n_tokens") if c in make(docs).columns]

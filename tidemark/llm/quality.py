@@ -217,7 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | N
         chosen = chosen.where(key < F.lit(int(1.2 * sample / total * (1 << 32))))
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(key, "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = document_statistics(texts).select("doc_id", "features").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("features", "quality").toArrow()
+    least = document_statistics(texts).groupBy("doc_id").agg(F.min("features").alias("features"))  # of a doc_id's texts, one that any run chooses
+    rows = least.join(F.broadcast(chosen), "doc_id").select("features", "quality").toArrow()
     if not rows.num_rows:
         return None
     x = np.array(rows.column("features").to_pylist(), float)
