@@ -14,11 +14,12 @@ from tidemark.functions.policies import RestartPolicy, RetryPolicy
 from tidemark.operators import resume
 from tidemark.plans import spec as sp
 from tidemark.plans.stages import PipelineError, compile_pipeline, resolve
+from tidemark.sources.feed import FeedSource, drain, stream_feed
 from tidemark.stores.memory import Checkpoint, MemoryCheckpoints, MemoryDeadLetters, MemoryLocks
 from tidemark.streaming import manager as mg
 from tidemark.streaming.anchors import IdleHeartbeat, LivenessGate, ProcessedAnchor
 from tidemark.streaming.metrics import CountingMetrics
-from tidemark.streaming.runner import Attempts, Context, StopStream, StrictRunner
+from tidemark.streaming.runner import Attempts, Context, DisorderError, StopStream, StrictRunner, run_keyed, run_vectorised
 
 NOW = datetime(2024, 5, 1)
 
@@ -507,3 +508,62 @@ def test_manager():
     assert manager.stop("a") and not manager.is_running("a") and manager.status()["streams"]["a"]["status"] == "DOWN"
     assert mg.StreamManager(sp.Registry(), lambda s: None).health()["status"] == "UP" and mg.StreamManager(registry, lambda s: Handle(), enabled=False).start_all() == []
     warnings.simplefilter("default")
+
+
+def test_a_closed_anchor_writes_nothing():
+    store = MemoryCheckpoints()
+    anchor = ProcessedAnchor("s", store, sp.CheckpointPolicy(save_every=1))
+    anchor.settle("5", NOW)
+    anchor.close()
+    store.save_processed("s", "9", NOW)  # its successor
+    anchor.settle("6", NOW)
+    assert not anchor.save_now("7", NOW) and not anchor.flush() and store.find("s").last_processed_token == "9"
+
+
+def test_manual_actions_of_a_parallel_run(spark):
+    def refuse(context):
+        context.send_to_dead_letters("refused")
+
+    def save(context):
+        context.save_checkpoint_now()
+
+    feed = spark.createDataFrame([(1, "1", "INSERT", 7, NOW, 1.5), (2, "2", "DELETE", 7, NOW, 2.5), (3, "3", "UPDATE", 8, NOW, 3.5)], "seq long, resume_token string, operation_type string, document_key long, cluster_time timestamp_ntz, value double")
+    keyed = sp.stream("s").options(checkpoint=sp.CheckpointPolicy(), dead_letters=sp.DeadLetterPolicy()).on_delete(refuse).on_update(save).on_insert(lambda document: None).build()
+    rows = {r.seq: r for r in run_keyed(feed, keyed).collect()}
+    assert rows[1].outcome == "HANDLED" and rows[1].manual == []
+    assert rows[2].outcome == "HANDLED" and len(rows[2].manual) == 1 and "ManualDlq" in rows[2].manual[0] and rows[2].letter is None
+    assert rows[3].outcome == "DEAD_LETTER" and rows[3].error_type == "ActionUnavailableError"
+    without = sp.stream("s").options(dead_letters=sp.DeadLetterPolicy()).on_delete(refuse).build()
+    assert {r.error_type for r in run_keyed(feed, without).where("outcome = 'DEAD_LETTER'").collect()} == {"ActionUnavailableError"}
+
+
+def test_events_out_of_order_are_an_error(spark):
+    feed = spark.range(20).selectExpr("20 - id AS seq", "cast(id AS string) AS resume_token", "'INSERT' AS operation_type", "id AS document_key", "cast(null AS timestamp_ntz) AS cluster_time").repartitionByRange(4, F.desc("seq"))
+    runner = StrictRunner(sp.stream("s").on_insert(lambda document: None).build())
+    with pytest.raises(DisorderError):
+        runner.batch(feed)
+
+
+def test_vectorised_handler(spark, sf_dir, tmp_path):
+    spark.dataSource.register(FeedSource)
+    feed = stream_feed(spark, f"file://{tmp_path}/v", path=f"{sf_dir}/events.parquet", maxEventsPerBatch=400)
+    sums = []
+    spec = sp.stream("v").on_change(lambda ctx: None).filter(F.col("value") > 50).build()
+    query = run_vectorised(feed, spec, lambda df: sums.append(df.agg(F.count("*"), F.sum("event_id")).first()), f"file://{tmp_path}/v", available_now=False)
+    drain(query)
+    want = spark.read.parquet(f"{sf_dir}/events.parquet").where("value > 50").agg(F.count("*"), F.sum("event_id")).first()
+    assert len(sums) > 1 and (sum(r[0] for r in sums), sum(r[1] or 0 for r in sums)) == tuple(want)
+
+
+def test_before_images_and_required_documents(spark):
+    rows = [(1, "1", "UPDATE", "k", None, "{\"a\": 1}", "{\"a\": 0}"), (2, "2", "INSERT", "k", None, "{\"a\": 2}", None)]
+    feed = spark.createDataFrame(rows, "seq long, resume_token string, operation_type string, document_key string, cluster_time timestamp_ntz, full_document string, full_document_before_change string")
+    seen = []
+    spec = sp.stream("s").options(before_change="WHEN_AVAILABLE").on_change(lambda ctx: seen.append(ctx.before)).build()
+    StrictRunner(spec).batch(feed)
+    StrictRunner(sp.stream("s").on_change(lambda ctx: seen.append(ctx.before)).build()).batch(feed)
+    assert seen == ["{\"a\": 0}", None, None, None]
+    required = sp.stream("s").options(full_document="REQUIRED").on_change(lambda ctx: None).build()
+    StrictRunner(required).batch(feed)
+    with pytest.raises(Exception, match="no document at 1"):
+        StrictRunner(required).batch(feed.withColumn("full_document", F.lit(None).cast("string")))

@@ -88,6 +88,11 @@ def seconds_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("SECOND", start, end)
 
 
+def from_epoch(seconds: Column) -> Column:
+    """The time that many seconds after 1970 began, in no zone."""
+    return F.timestamp_add("SECOND", seconds, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
 def instance_id(app: str, port: int) -> str:
     """host:app:port of this process."""
     return f"{socket.gethostname()}:{app}:{port}"

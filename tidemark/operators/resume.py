@@ -186,7 +186,11 @@ def resolve(stream: str, store: Any, feed: Position, strategy: str, reconcile: C
             try:
                 reconcile(lost)
             except Exception as error:
+                if metrics is not None:
+                    metrics.on_reconciliation_failed(stream, error)
                 raise ReconciliationFailedError(stream, attempt, lost.start) from error
+            if metrics is not None:
+                metrics.on_reconciled(stream, attempt)
             if target[1] is None or feed.valid(target[1]):
                 break
             if attempt == 2:

@@ -21,7 +21,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 FEED = """feed AS (
-    SELECT event_id AS seq, lpad(CAST(event_id AS VARCHAR), 12, '0') AS resume_token,
+    SELECT event_id AS seq, lpad(CAST(event_id AS VARCHAR), 19, '0') AS resume_token,
            CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'purchase' THEN 'REPLACE' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS operation_type,
            user_id AS document_key, date_trunc('second', ts) AS cluster_time, ts AS wall_time, event_type, value, props FROM events)"""
 TIME, SQL_TIME = "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"
@@ -108,6 +108,15 @@ def match_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _piped(spark, sf_dir, {"$match": {"operationType": {"$in": ["INSERT", "REPLACE", "INVALIDATE"]}, "fullDocument.event_type": {"$in": ["signup", "purchase", "view"]}, "fullDocument.value": {"$gt": 10.0}}}).select("seq", "operation_type", "event_type")
 
 
+@query("""WITH {feed} SELECT seq, value FROM feed WHERE operation_type <> 'DELETE' AND value > 10 AND value <= 50.5
+    UNION ALL SELECT seq, value FROM feed WHERE operation_type <> 'DELETE' AND value > 99 AND value NOT IN (99.5, 100)""")
+def match_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers against fractional values, in columns and in documents."""
+    flat = _piped(spark, sf_dir, {"$match": {"operationType": {"$ne": "DELETE"}, "fullDocument.value": {"$gt": 10, "$lte": 50.5}}}).select("seq", "value")
+    held = compile_pipeline([{"$match": {"fullDocument.value": {"$gt": 99, "$nin": [99.5, 100, "100"]}}}])(envelope.enveloped(events_feed(spark, sf_dir)))
+    return flat.unionByName(held.select("seq", F.try_variant_get("full_document", "$.value", "double").alias("value")))
+
+
 @query("WITH {feed} SELECT seq, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM feed WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 OR operation_type = 'DELETE'")
 def match_dotted(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _piped(spark, sf_dir, {"$match": {"$or": [{"fullDocument.props.k": {"$gte": 50}}, {"operationType": "DELETE"}]}})
@@ -125,7 +134,7 @@ def add_unset_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _piped(spark, sf_dir, *stages).select("seq", "resume_token", "operation_type", "value", "kind", "region")
 
 
-@query("SELECT o_orderkey AS seq, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS resume_token, o_orderstatus AS status, o_totalprice AS total FROM orders WHERE o_orderstatus <> 'F'")
+@query("SELECT o_orderkey AS seq, lpad(CAST(o_orderkey AS VARCHAR), 19, '0') AS resume_token, o_orderstatus AS status, o_totalprice AS total FROM orders WHERE o_orderstatus <> 'F'")
 def replace_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = envelope.orders_feed(spark, sf_dir).withColumn("full_document", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")))
     return compile_pipeline([{"$match": {"fullDocument.status": {"$ne": "F"}}}, {"$replaceRoot": {"newRoot": "$fullDocument"}}])(orders)
@@ -418,7 +427,7 @@ def anchor_count_or_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHECKPOINTS = """c AS (SELECT document_key, max(CASE WHEN seq % 2 = 0 AND document_key % 4 <> 1 THEN resume_token END) AS processed, max(CASE WHEN document_key % 6 <> 1 THEN resume_token END) AS seen,
     max(CASE WHEN seq % 2 = 0 THEN cluster_time END) AS processed_at, max(CASE WHEN seq % 3 = 0 THEN cluster_time END) AS seen_at, max(CASE WHEN seq % 5 = 0 THEN cluster_time END) AS heartbeat_at,
     CASE document_key % 3 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'RESUME_FROM_NOW' ELSE 'RESUME_FROM_OPLOG_START' END AS strategy FROM feed GROUP BY document_key),
-    b AS (SELECT lpad(CAST(max(seq) - 200 AS VARCHAR), 12, '0') AS oldest, max(resume_token) AS head, max(cluster_time) AS head_at FROM feed)"""
+    b AS (SELECT lpad(CAST(max(seq) - 200 AS VARCHAR), 19, '0') AS oldest, max(resume_token) AS head, max(cluster_time) AS head_at FROM feed)"""
 
 
 def _checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -610,7 +619,7 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         spec = stream("replay").options(collection="events", checkpoint=CheckpointPolicy(save_every=100)).on_change(handle).filter(accepts).build()
         try:
-            drain(spark, location, lambda: StrictRunner(spec, store).start(_stream_of(spark, sf_dir, location), location, available_now=True))
+            drain(StrictRunner(spec, store).start(_stream_of(spark, sf_dir, location), location, seconds=0))
         except Exception:
             if crash["left"]:
                 raise
@@ -637,7 +646,7 @@ def stream_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
     retry = RetryPolicy(2, "1ms", "1ms", 1.0, False)
     spec = stream("letters").options(collection="events", checkpoint=CheckpointPolicy(save_every=500), retry=retry, dead_letters=DeadLetterPolicy()).on_replace(purchase).on_delete(refuse).build()
     location, runner = shared_location(spark, "letters"), StrictRunner(spec, MemoryCheckpoints(), letters, sleep=lambda s: None)
-    drain(spark, location, lambda: runner.start(_stream_of(spark, sf_dir, location), location, available_now=True))
+    drain(runner.start(_stream_of(spark, sf_dir, location), location, seconds=0))
     rows = [(e.id, e.document_key, e.error.type, e.attempts, e.status) for e in letters.find_by_stream("letters")]
     return spark.createDataFrame(rows, "id string, document_key string, error_type string, attempts int, status string")
 
@@ -655,3 +664,24 @@ def keyed_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spec = stream("parallel").options(collection="events", retry=RetryPolicy(2, "0ms", "0ms"), dead_letters=DeadLetterPolicy()).on_replace(purchase).on_insert(lambda document: None).build()
     return run_keyed(events_feed(spark, sf_dir), spec).select("seq", "outcome", "attempts")
+
+
+@query("""WITH {feed}, now AS (SELECT document_key AS k, max_by(value, seq) AS current FROM feed GROUP BY document_key)
+    SELECT seq, CASE WHEN operation_type <> 'UPDATE' THEN 'NO_HANDLER' WHEN current > 50 THEN 'DEAD_LETTER' ELSE 'HANDLED' END AS outcome FROM feed JOIN now ON document_key = k""")
+def stream_update_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream whose updates carry the document as it is now; its handler refuses large values."""
+    from tidemark.plans.spec import DeadLetterPolicy, stream
+    from tidemark.streaming.runner import run_keyed
+
+    def update(document) -> None:
+        if document["value"] > 50:
+            raise ValueError(document["value"])
+
+    feed = events_feed(spark, sf_dir).select("seq", "resume_token", "operation_type", "document_key", "cluster_time", "value")
+    spec = stream("lookup").options(collection="events", full_document="UPDATE_LOOKUP", dead_letters=DeadLetterPolicy()).on_update(update).build()
+    return run_keyed(feed, spec, current=lambda: feed.groupBy("document_key").agg(F.max_by("value", "seq").alias("value"))).select("seq", "outcome")
+
+
+@query("WITH {feed} SELECT seq, make_timestamp(seq * 86399 * 1000000) AS moment FROM feed")
+def epoch_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_feed(spark, sf_dir).select("seq", scalars.from_epoch(F.col("seq") * 86399).alias("moment"))

@@ -6,8 +6,10 @@ and used by scans and probes alike, so Catalyst pushes its filters and column ch
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Callable, Mapping, Sequence
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -30,32 +32,84 @@ class PipelineError(ValueError):
     """A pipeline that can't be compiled: the stream doesn't start."""
 
 
-def _kind(value: Any) -> str:
-    return {bool: "boolean", int: "bigint", float: "double"}.get(type(value), "string")
+def located(df: DataFrame, path: str) -> tuple[Column, str]:
+    """A (dotted) field and its type: an envelope column, a column that the feed has promoted, a variant's part or a struct's."""
+    columns = dict(df.dtypes)
 
+    def plain(name: str) -> tuple[Column, str]:
+        return F.col(name), columns[name] if name in columns else df.select(F.col(name)).dtypes[0][1]
 
-def field(df: DataFrame, path: str, kind: str = "string") -> Column:
-    """A (dotted) field: an envelope column, a column that the feed has promoted, a variant's path or a struct's."""
-    columns = dict(df.dtypes)
     if path in FIELDS and FIELDS[path] in columns:
-        return F.col(FIELDS[path])
+        return plain(FIELDS[path])
     for head, column in (("fullDocument.", "full_document"), ("fullDocumentBeforeChange.", "full_document_before_change"), ("updateDescription.", "update_description")):
         if path.startswith(head):
             rest = path.removeprefix(head)
             if columns.get(column) == "variant":
-                return F.try_variant_get(F.col(column), f"$.{rest}", kind)
+                return F.try_variant_get(F.col(column), f"$.{rest}", "variant"), "variant"
             if column in columns:
-                return F.col(f"{column}.{rest}")
+                return plain(f"{column}.{rest}")
             top, _, inner = rest.partition(".")
             if top in columns:
                 if not inner:
-                    return F.col(top)
-                return F.get_json_object(F.col(top), f"$.{inner}").try_cast(kind) if columns[top] == "string" else F.col(f"{top}.{inner}")
+                    return plain(top)
+                return (F.try_variant_get(F.try_parse_json(F.col(top)), f"$.{inner}", "variant"), "variant") if columns[top] == "string" else plain(f"{top}.{inner}")
     if path.split(".")[0] in columns:
-        return F.col(path)
+        return plain(path)
     raise PipelineError(f"unknown field {path!r}")
 
 
+def field(df: DataFrame, path: str) -> Column:
+    """The field's value; of a variant, as a string."""
+    at, kind = located(df, path)
+    return F.try_variant_get(at, "$", "string") if kind == "variant" else at
+
+
+NUMERIC = re.compile(r"tinyint|smallint|int|bigint|float|double|decimal.*")
+
+
+def family(value: Any) -> str:
+    """Values are only compared with values of their family."""
+    return "boolean" if isinstance(value, bool) else "number" if isinstance(value, int | float | Decimal) else "string" if isinstance(value, str) else "other"
+
+
+def compared(df: DataFrame, path: str, sample: Any, test: Callable[[Column], Column]) -> Column:
+    """``test`` of the field where it is of the sample's family, whole and fractional numbers alike; not true where it isn't or is missing."""
+    (at, kind), wanted = located(df, path), family(sample)
+    if kind != "variant":
+        found = "number" if NUMERIC.fullmatch(kind) else kind if kind in ("string", "boolean") else "other"  # dates and times take strings too
+        return test(at) if found in (wanted, "other") else F.lit(False)
+    held = F.schema_of_variant(at)
+    if wanted == "number":
+        whole = held.isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+        out = F.when(whole, test(F.try_variant_get(at, "$", "bigint"))).when(held.rlike("^(DECIMAL|DOUBLE|FLOAT)"), test(F.try_variant_get(at, "$", "double")))
+    else:
+        out = F.when(held == wanted.upper(), test(F.try_variant_get(at, "$", wanted if wanted != "other" else "string")))
+    return F.coalesce(out, F.lit(False))
+
+
+ORDER: dict[str, Callable[[Column, Column], Column]] = {"$gt": lambda at, to: at > to, "$gte": lambda at, to: at >= to, "$lt": lambda at, to: at < to, "$lte": lambda at, to: at <= to}
+
+
+def missing(df: DataFrame, path: str) -> Column:
+    """The field is absent or null."""
+    at, kind = located(df, path)
+    return F.coalesce(F.is_variant_null(at), F.lit(False)) | at.isNull() if kind == "variant" else at.isNull()
+
+
+def is_in(df: DataFrame, path: str, values: Sequence[Any]) -> Column:
+    """The field equals one of the values; null stands for a missing one."""
+    kinds: dict[str, list[Any]] = {}
+    for v in values:
+        if v is not None:
+            kinds.setdefault(family(v), []).append(v)
+    out = missing(df, path) if any(v is None for v in values) else F.lit(False)
+    for same in kinds.values():
+        whole = all(isinstance(v, int) for v in same)
+        fixed = same if whole else [float(v) if isinstance(v, int | Decimal) and not isinstance(v, bool) else v for v in same]
+        out |= compared(df, path, same[0], lambda at, fixed=fixed: at.isin(*fixed))
+    return out
+
+
 def condition(df: DataFrame, path: str, test: Any) -> Column:
     """A field's test: a value, or a document of operators."""
     if not (isinstance(test, Mapping) and test and all(k.startswith("$") for k in test)):
@@ -63,26 +117,19 @@ def condition(df: DataFrame, path: str, test: Any) -> Column:
     out = F.lit(True)
     for operator, value in test.items():
         if operator == "$exists":
-            at = field(df, path)
-            out &= at.isNotNull() if value else at.isNull()
+            out &= located(df, path)[0].isNotNull() if value else located(df, path)[0].isNull()
         elif operator in ("$in", "$nin"):
-            values = [v for v in value if v is not None]
-            at = field(df, path, _kind(values[0]) if values else "string")
-            found = F.coalesce(at.isin(*values), F.lit(False)) if values else F.lit(False)
-            if len(values) < len(value):
-                found |= at.isNull()
-            out &= found if operator == "$in" else ~found
+            found = is_in(df, path, value)
+            out &= found if operator == "$in" else ~F.coalesce(found, F.lit(False))
         elif operator in ("$eq", "$ne"):
-            at = field(df, path, _kind(value))
-            same = at.isNull() if value is None else at == F.lit(value)
-            out &= same if operator == "$eq" else ~F.coalesce(same, F.lit(False))
-        elif operator in ("$gt", "$gte", "$lt", "$lte"):
-            at, to = field(df, path, _kind(value)), F.lit(value)
-            out &= {"$gt": at > to, "$gte": at >= to, "$lt": at < to, "$lte": at <= to}[operator]
+            found = is_in(df, path, [value])
+            out &= found if operator == "$eq" else ~F.coalesce(found, F.lit(False))
+        elif operator in ORDER:
+            out &= compared(df, path, value, lambda at, op=ORDER[operator], to=value: op(at, F.lit(to)))
         elif operator == "$not":
             out &= ~F.coalesce(condition(df, path, value), F.lit(False))
         elif operator == "$regex":
-            out &= field(df, path).rlike(value)
+            out &= compared(df, path, "", lambda at, pattern=value: at.rlike(pattern))
         else:
             raise PipelineError(f"unknown operator {operator!r}")
     return out

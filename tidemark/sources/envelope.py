@@ -15,7 +15,7 @@ LIFECYCLE = ("DROP", "DROP_DATABASE", "RENAME", "INVALIDATE")
 DOCUMENT_OPERATIONS = ("INSERT", "UPDATE", "REPLACE", "DELETE")
 # Fixed: how the events table maps to operations.
 EVENT_OPERATIONS = {"signup": "INSERT", "click": "UPDATE", "view": "UPDATE", "purchase": "REPLACE", "error": "DELETE"}
-TOKEN_WIDTH = 12
+TOKEN_WIDTH = 19
 
 UPDATE_DESCRIPTION = T.StructType([
     T.StructField("updated_fields", T.MapType(T.StringType(), T.VariantType())),
@@ -47,8 +47,9 @@ def operation_type(wire: Column) -> Column:
 
 
 def resume_token(seq: Column) -> Column:
-    """Fixed width, so that tokens sort as their numbers do."""
-    return F.lpad(seq.cast("string"), TOKEN_WIDTH, "0")
+    """Fixed width, which all numbers fit, so that tokens sort as their numbers do; a negative number is an error."""
+    whole = seq.cast("long")
+    return F.when(whole < 0, F.raise_error(F.concat(F.lit("no token for "), whole.cast("string")))).otherwise(F.lpad(whole.cast("string"), TOKEN_WIDTH, "0"))
 
 
 def seq_of(token: str) -> int:

@@ -16,7 +16,8 @@ from tidemark.streaming.metrics import NoMetrics
 class ProcessedAnchor:
     """Writes the last settled token when ``save_every`` settlements are owed or, if any is, when ``flush`` comes by.
 
-    What is owed is counted from the last confirmed write. A write that fails is reported and stays owed; it never stops the stream.
+    What is owed is counted from the last confirmed write. A write that fails is reported and stays owed; it never stops the stream. A closed
+    anchor writes nothing: what a stopped generation still has at hand must not overwrite its successor's position.
     """
 
     def __init__(self, stream: str, store: Any, policy: CheckpointPolicy, metrics: Any = None):
@@ -28,6 +29,8 @@ class ProcessedAnchor:
         self._lock = threading.RLock()
 
     def _write(self) -> bool:
+        if self.closed:
+            return False
         token, at = self.latest
         try:
             self.store.save_processed(self.stream, token, at)
@@ -56,9 +59,10 @@ class ProcessedAnchor:
             return self._write()
 
     def close(self, flush: bool = True) -> None:
-        if flush:
-            self.flush()
-        self.closed = True
+        with self._lock:
+            if flush:
+                self.flush()
+            self.closed = True
 
 
 class LivenessGate:
@@ -83,6 +87,11 @@ class LivenessGate:
                 self.state = "IDLE"
                 self._free.notify_all()
 
+    def drained(self, seconds: float | None = None) -> bool:
+        """Wait until no handler is at work."""
+        with self._free:
+            return self._free.wait_for(lambda: self.state != "HANDLING", seconds)
+
     def _claim(self, state: str) -> bool:
         with self._free:
             if self.state != "IDLE":
@@ -161,5 +170,15 @@ class IdleHeartbeat:
             if self.position == asked:
                 self.position = token
 
+    def repair(self, move: Callable[[], str | None]) -> bool:
+        """Move the position in place while no handler is at work; False if one is. ``move`` gives the new position."""
+        if not self.gate.begin_repair():
+            return False
+        try:
+            self.seed(move())
+            return True
+        finally:
+            self.gate.end_repair()
+
     def cancel(self) -> None:
         self.cancelled = True

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import time
 from collections.abc import Callable
@@ -112,8 +113,9 @@ class LeaderElection:
                 kept = False
             if kept:
                 return LEASE_RENEW
+            with contextlib.suppress(Exception):
+                self.on_lose()
             self._become("STANDBY")
-            self.on_lose()
             return LEASE_POLL
         try:
             won = self.locks.try_acquire(self.stream, self.instance, LEASE_TTL, self.now())
@@ -125,8 +127,13 @@ class LeaderElection:
         self._become("LEADER")
         try:
             self.on_lead()
-        except Exception:
+        except Exception as error:
+            with contextlib.suppress(Exception):
+                self.on_lose()  # what has begun ends before another instance may begin
             self.locks.release(self.stream, self.instance)
+            if is_history_lost(error) or isinstance(_root(error), HistoryLostError):
+                self._become("NONE")
+                raise
             self._become("STANDBY")
             return LEASE_POLL
         return LEASE_RENEW

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import inspect
 import threading
 import time
 import traceback
@@ -15,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.scalars import canonical_json, document_key_json, expiry
+from tidemark.operators.resume import StreamStuckError
 from tidemark.plans.spec import DeadLetterPolicy, StreamSpec, resolve_error, takes
 from tidemark.sources.envelope import LIFECYCLE
 from tidemark.stores.memory import ErrorInfo, FailedEvent, NoCheckpoints, NoDeadLetters
 from tidemark.streaming.anchors import LivenessGate, ProcessedAnchor
 from tidemark.streaming.metrics import NoMetrics
 
+BACKLOG_SECONDS = 5
 META = ("seq", "resume_token", "operation_type", "db", "coll", "document_key", "cluster_time", "wall_time", "before", "update_description", "lsid", "txn_number")
 
 
@@ -28,14 +32,27 @@ def utc_now() -> datetime:
     return datetime.now(UTC).replace(tzinfo=None, microsecond=0)
 
 
-class ManualDeadLetter(Exception):
+class ManualDlq(Exception):
     """What a handler's own request is recorded as."""
 
 
+class StoppedError(RuntimeError):
+    """The runner was told to stop; the batch at work isn't settled and comes again."""
+
+
+class DisorderError(RuntimeError):
+    """The source's partitions aren't in the feed's order."""
+
+
 class ActionUnavailableError(RuntimeError):
     """A manual action of a stream without the policy it needs."""
 
 
+def as_values(document: Any) -> Any:
+    """A typed document as the plain values that a letter holds."""
+    return document if document is None or isinstance(document, dict) else document._asdict() if hasattr(document, "_asdict") else dict(vars(document))
+
+
 @dataclass
 class Context:
     """One event as its handler sees it."""
@@ -44,6 +61,7 @@ class Context:
     stream: str
     runner: Any = None
     attempt: int = 1
+    document_type: Any = dict
     metadata: dict[str, Any] = field(default_factory=dict)
 
     def __getattr__(self, name: str) -> Any:
@@ -57,13 +75,23 @@ class Context:
             raise AttributeError(name) from None
 
     @property
-    def document(self) -> dict[str, Any] | None:
-        """Null after a DELETE."""
+    def document(self) -> Any:
+        """Null after a DELETE. A dict, or an object of the stream's document type."""
         if self.row["operation_type"] == "DELETE":
             return None
         values = self.row.asDict(recursive=True)
+        if "document" in values:  # by the stream's full-document mode
+            return self.typed(values["document"])
         whole = values.get("full_document")
-        return whole if whole is not None else {k: v for k, v in values.items() if k not in META and k != "full_document"}
+        return self.typed(whole if whole is not None else {k: v for k, v in values.items() if k not in META and k not in ("full_document", "_accepted")})
+
+    def typed(self, values: dict[str, Any] | None) -> Any:
+        """The document as the stream's document type, which is called with those values that it takes."""
+        if values is None or self.document_type in (dict, None):
+            return values
+        names = inspect.signature(self.document_type).parameters
+        takes_all = any(p.kind is p.VAR_KEYWORD for p in names.values())
+        return self.document_type(**{k: v for k, v in values.items() if takes_all or k in names})
 
     @property
     def transaction(self) -> tuple[str, int] | None:
@@ -91,6 +119,7 @@ class Attempts:
 
     def __init__(self, spec: StreamSpec, letters: Any = None, metrics: Any = None, sleep: Callable[[float], None] = time.sleep, now: Callable[[], datetime] = utc_now):
         self.spec, self.letters, self.metrics, self.sleep, self.now = spec, letters or NoDeadLetters(), metrics or NoMetrics(), sleep, now
+        self.counted: float | None = None
 
     def call(self, handler: Callable, context: Context) -> None:
         form = takes(handler)
@@ -127,7 +156,7 @@ class Attempts:
         now = self.now()
         trace = "".join(traceback.format_exception(error)) if stack else None
         return FailedEvent(
-            id=context.event_id, stream_name=self.spec.name, operation_type=context.operation_type, document_key=document_key_json(context.document_key), full_document=canonical_json(context.document) if policy.include_document else None,
+            id=context.event_id, stream_name=self.spec.name, operation_type=context.operation_type, document_key=document_key_json(context.document_key), full_document=canonical_json(as_values(context.document)) if policy.include_document else None,
             resume_token=context.resume_token, error=ErrorInfo(type(error).__name__, str(error), trace), attempts=context.attempt, first_attempt_at=first, last_attempt_at=now, created_at=now,
             expires_at=expiry(now, policy.retention_days), metadata={k: str(v) for k, v in context.metadata.items()},
         )
@@ -139,10 +168,18 @@ class Attempts:
             return
         try:
             self.letters.save(self.letter(context, error, first, policy, policy.include_stack))
-            self.metrics.on_event_dead_lettered(self.spec.name)
-            self.metrics.on_backlog(self.spec.name, self.letters.count_pending(self.spec.name))
         except Exception as failure:
             self.metrics.on_dead_letter_failed(self.spec.name, failure)
+            return
+        self.metrics.on_event_dead_lettered(self.spec.name)
+        self.backlog()
+
+    def backlog(self) -> None:
+        """The gauge of waiting letters, counted at most every BACKLOG_SECONDS; a count that fails says nothing of the letters."""
+        if self.counted is None or time.monotonic() - self.counted >= BACKLOG_SECONDS:
+            self.counted = time.monotonic()
+            with contextlib.suppress(Exception):
+                self.metrics.on_backlog(self.spec.name, self.letters.count_pending(self.spec.name))
 
 
 class StopStream(Exception):
@@ -160,8 +197,8 @@ class StrictRunner:
     interrupted, a filter failed), the batch fails there and is delivered again: dead letters have ids that a replay repeats.
     """
 
-    def __init__(self, spec: StreamSpec, checkpoints: Any = None, letters: Any = None, metrics: Any = None, sleep: Callable[[float], None] = time.sleep, now: Callable[[], datetime] = utc_now):
-        self.spec, self.metrics, self.now = spec, metrics or NoMetrics(), now
+    def __init__(self, spec: StreamSpec, checkpoints: Any = None, letters: Any = None, metrics: Any = None, sleep: Callable[[float], None] = time.sleep, now: Callable[[], datetime] = utc_now, current: Callable[[], DataFrame] | None = None):
+        self.spec, self.metrics, self.now, self.current = spec, metrics or NoMetrics(), now, current
         self.letters = letters or NoDeadLetters()
         self.attempts = Attempts(spec, self.letters, self.metrics, sleep, now)
         self.anchor = ProcessedAnchor(spec.name, checkpoints or NoCheckpoints(), spec.checkpoint, self.metrics) if spec.checkpoint else None
@@ -170,6 +207,8 @@ class StrictRunner:
         self.cause: str | None = None
         self.last_event_time: datetime | None = None
         self.outcomes: dict[str, int] = {}
+        self.stopped = threading.Event()
+        self.on_settled: Callable[[str], None] = lambda token: None
 
     def save_now(self, context: Context) -> bool:
         if self.anchor is None:
@@ -183,16 +222,18 @@ class StrictRunner:
         if self.anchor is None:
             raise ActionUnavailableError(f"{self.spec.name} has no checkpoint policy")
         policy = self.spec.dead_letters or DeadLetterPolicy(retention_days=0)
-        self.letters.save(self.attempts.letter(context, ManualDeadLetter(reason), self.now(), policy, False))
+        self.letters.save(self.attempts.letter(context, ManualDlq(reason), self.now(), policy, False))
         self.metrics.on_event_dead_lettered(self.spec.name)
 
     def prepared(self, df: DataFrame) -> DataFrame:
-        """Pipeline, and a Column filter as a flag, so that both run in the scan."""
-        out = self.pipeline(df)
+        """Pipeline, and a Column filter as a flag, so that both run in the scan; then the images that the stream asks for."""
+        out = with_images(self.spec, self.pipeline(df), self.current)
         return out.withColumn("_accepted", F.coalesce(self.spec.filter, F.lit(False))) if isinstance(self.spec.filter, Column) else out
 
     def event(self, row: Row) -> str:
-        context = Context(row, self.spec.name, self)
+        if self.stopped.is_set():
+            raise StoppedError(self.spec.name)
+        context = Context(row, self.spec.name, self, document_type=self.spec.document_type)
         self.metrics.on_event_received(self.spec.name, context)
         operation = row["operation_type"]
         if operation in ("DROP", "DROP_DATABASE", "RENAME"):
@@ -205,6 +246,8 @@ class StrictRunner:
         if not self.gate.enter():
             return "DROPPED"
         try:
+            if self.stopped.is_set():  # meanwhile
+                raise StoppedError(self.spec.name)
             handler = self.spec.handler(operation)
             if handler is None:
                 outcome = "NO_HANDLER"
@@ -217,6 +260,7 @@ class StrictRunner:
         self.last_event_time = self.now()
         if self.anchor is not None and operation not in LIFECYCLE:
             self.anchor.settle(row["resume_token"], row["cluster_time"] or self.now())
+        self.on_settled(row["resume_token"])
         return outcome
 
     def accepts(self, row: Row, context: Context) -> bool:
@@ -226,30 +270,88 @@ class StrictRunner:
 
     def batch(self, df: DataFrame, batch_id: int = 0) -> None:
         """foreachBatch function."""
-        for row in self.prepared(df).sortWithinPartitions("seq").toLocalIterator() if df.isStreaming else self.prepared(df).orderBy("seq").toLocalIterator():
+        last, rows = None, self.prepared(df)
+        for row in (rows.orderBy("seq") if looks_up(self.spec, self.current) else rows.sortWithinPartitions("seq")).toLocalIterator():
+            if last is not None and row["seq"] < last:
+                raise DisorderError(f"{self.spec.name}: event {row['seq']} after {last}; the source must give its partitions in the feed's order")
+            last = row["seq"]
             outcome = self.event(row)
             self.outcomes[outcome] = self.outcomes.get(outcome, 0) + 1
 
-    def start(self, feed: DataFrame, checkpoint_location: str, available_now: bool = False) -> StreamingQuery:
+    def halt(self, seconds: float | None = None) -> bool:
+        """No event is delivered any more; waits for the handler at work, if any."""
+        self.stopped.set()
+        return self.gate.drained(seconds)
+
+    def start(self, feed: DataFrame, checkpoint_location: str, available_now: bool = False, seconds: float | None = None) -> StreamingQuery:
         """A streaming query named after the stream. LATEST needs a new location for each start, as Spark resumes from an old one."""
-        seconds = self.spec.checkpoint.save_seconds if self.spec.checkpoint else 0
+        if seconds is None:
+            seconds = max(self.spec.checkpoint.save_seconds if self.spec.checkpoint else 0, 1)
         writer = feed.writeStream.queryName(self.spec.name).foreachBatch(self.batch).option("checkpointLocation", checkpoint_location)
-        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{max(seconds, 1)} seconds")
+        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{int(1000 * seconds)} milliseconds")
         self.metrics.on_stream_started(self.spec.name, self.spec.snapshot())
         return writer.start()
 
 
-OUTCOME = "seq long, resume_token string, document_key string, outcome string, attempts int, error_type string, error_message string, letter string"
+def looks_up(spec: StreamSpec, current: Any) -> bool:
+    return spec.full_document == "UPDATE_LOOKUP" and current is not None
 
 
-def run_keyed(feed: DataFrame, spec: StreamSpec, partitions: int | None = None) -> DataFrame:
+def with_images(spec: StreamSpec, events: DataFrame, current: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """The events with the document images of the stream's modes.
+
+    DEFAULT: what the event carries. WHEN_AVAILABLE and REQUIRED: the event's own post-image, REQUIRED failing where an update has none.
+    UPDATE_LOOKUP: for updates the document in ``current``, the collection as it is now (document_key and the document's columns), else the
+    event's. With a before-image mode the event's before-image is passed on, REQUIRED failing where it is missing; OFF takes it away.
+    """
+    kind, out = F.col("operation_type"), events
+    held = "full_document" in events.columns
+    fields = [c for c in events.columns if c not in META and c not in ("full_document", "full_document_before_change")]
+    if spec.full_document != "DEFAULT" and (held or fields):
+        image = F.col("full_document") if held else F.when(kind != "DELETE", F.struct(*fields))
+        if looks_up(spec, current):
+            now = current()
+            now = now.select(F.col("document_key").alias("_key"), (F.col("full_document") if held else F.struct(*(F.col(c) for c in fields))).alias("_current"))
+            out = out.join(now, F.col("document_key") == F.col("_key"), "left")
+            image = F.when(kind == "UPDATE", F.col("_current")).otherwise(image)
+        elif spec.full_document == "REQUIRED":
+            image = F.when((kind == "UPDATE") & image.isNull(), F.raise_error(F.concat(F.lit("no document at "), "resume_token"))).otherwise(image)
+        out = out.withColumn("document", image).drop("_key", "_current")
+    if "full_document_before_change" in events.columns:
+        before = F.col("full_document_before_change")
+        if spec.before_change == "REQUIRED":
+            before = F.when(kind.isin("UPDATE", "REPLACE", "DELETE") & before.isNull(), F.raise_error(F.concat(F.lit("no pre-image at "), "resume_token"))).otherwise(before)
+        out = (out.withColumn("before", before) if spec.before_change != "OFF" else out).drop("full_document_before_change")
+    return out
+
+
+OUTCOME = "seq long, resume_token string, document_key string, outcome string, attempts int, error_type string, error_message string, letter string, manual array<string>"
+
+
+class KeyedActions:
+    """What a handler of a parallel run may ask for: letters of its own, which come back as rows; an anchor of its own there is none."""
+
+    def __init__(self, spec: StreamSpec, attempts: Attempts):
+        self.spec, self.attempts, self.manual = spec, attempts, []
+
+    def save_now(self, context: Context) -> bool:
+        raise ActionUnavailableError(f"{self.spec.name} runs by key; its anchor is the settled prefix")
+
+    def send_manually(self, context: Context, reason: str) -> None:
+        if self.spec.checkpoint is None:
+            raise ActionUnavailableError(f"{self.spec.name} has no checkpoint policy")
+        policy = self.spec.dead_letters or DeadLetterPolicy(retention_days=0)
+        self.manual.append(self.attempts.letter(context, ManualDlq(reason), self.attempts.now(), policy, False))
+
+
+def run_keyed(feed: DataFrame, spec: StreamSpec, partitions: int | None = None, current: Callable[[], DataFrame] | None = None) -> DataFrame:
     """Keys in parallel, each in order: outcome of every event. Handlers run on the executors; letters come back as rows.
 
     Rows are dealt by key, sorted, and stream through; no group is held. Retries wait in place and so hold back their partition only.
     """
     import pyarrow as pa
 
-    prepared = spec.compiled()(feed)
+    prepared = with_images(spec, spec.compiled()(feed), current)
     if isinstance(spec.filter, Column):
         prepared = prepared.withColumn("_accepted", F.coalesce(spec.filter, F.lit(False)))
     n = partitions or int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -264,13 +366,15 @@ def run_keyed(feed: DataFrame, spec: StreamSpec, partitions: int | None = None)
                 saved: list[FailedEvent] = []
                 letters = NoDeadLetters()
                 letters.save = saved.append
-                context = Context(row, spec.name)
+                attempts = Attempts(spec, letters)
+                actions = KeyedActions(spec, attempts)
+                context = Context(row, spec.name, actions, document_type=spec.document_type)
                 handler = spec.handler(row["operation_type"]) if row["operation_type"] != "INVALIDATE" else None
                 accepted = spec.filter is None or (values["_accepted"] if isinstance(spec.filter, Column) else spec.filter(context))
-                outcome = "LIFECYCLE" if row["operation_type"] == "INVALIDATE" else "NO_HANDLER" if handler is None else Attempts(spec, letters).run(handler, context) if accepted else "FILTERED"
+                outcome = "LIFECYCLE" if row["operation_type"] == "INVALIDATE" else "NO_HANDLER" if handler is None else attempts.run(handler, context) if accepted else "FILTERED"
                 error = saved[0].error if saved else None
-                rows.append((row["seq"], row["resume_token"], str(row["document_key"]), outcome, context.attempt, error and error.type, error and error.message, canonical_json(asdict(saved[0])) if saved else None))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+                rows.append((row["seq"], row["resume_token"], str(row["document_key"]), outcome, context.attempt, error and error.type, error and error.message, canonical_json(asdict(saved[0])) if saved else None, [canonical_json(asdict(m)) for m in actions.manual]))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
             names = [f.split()[0] for f in OUTCOME.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
 
@@ -304,14 +408,17 @@ class Flusher(threading.Thread):
         self.error: BaseException | None = None
 
     def run(self) -> None:
+        """No tick ends the thread but the verdict that the stream is stuck, which is left in ``error``."""
         while not self._stopped.wait(self.seconds):
-            self.anchor.flush()
-            if self.heartbeat is not None:
-                try:
+            try:
+                self.anchor.flush()
+                if self.heartbeat is not None:
                     self.heartbeat.tick()
-                except Exception as error:
-                    self.error = error
-                    return
+            except StreamStuckError as error:
+                self.error = error
+                return
+            except Exception as error:
+                self.anchor.metrics.on_probe_failed(self.anchor.stream, error)
 
     def stop(self) -> None:
         self._stopped.set()
