@@ -56,11 +56,35 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents")).drop("tree")
 
 
+def licence_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can express."""
+    return op1_licence_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can express."""
+    return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licence_scan, op2_quality_rules, op3_source_mixing, op4_exact_dedup, op5_substring_dedup, op6_toxicity, op7_warc, op8_near_dedup, op9_packing, op10_token_counts)
+    f.__name__: f for f in (op1_licence_scan, op2_quality_rules, op3_source_mixing, op4_exact_dedup, op5_substring_dedup, op6_toxicity, op7_warc, op8_near_dedup, op9_packing, op10_token_counts, licence_base, quality_counts)
 }
 
 ORACLE: dict[str, str] = {
+    "licence_base": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+        p AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) AS t(phrase, label)),
+        hit AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w), p WHERE words[i:i + len(phrase) - 1] = phrase),
+        found AS (SELECT doc_id, count(*) AS n, min(place) AS low, max(place) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN found USING (doc_id)""",
+    "quality_counts": r"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS words FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+        twice AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING count(*) > 1),
+        places AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS place FROM win JOIN twice USING (doc_id, k)) GROUP BY doc_id),
+        c AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                     list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN places USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
                sha256(coalesce(text, '')) AS text_sha256
