@@ -327,6 +327,17 @@ def test_warc_round_trip(spark, tmp_path):
     text = {p: (h or "").encode() for p, _, h in PAGES}
     assert chosen and all(r.payload is None or bytes(r.payload) == text[r.page_id] for r in chosen)
     assert warc.warc_digest(pages.where("false")).count() == 0
+    headers = []
+    for r in index.collect():
+        with open(r.archive.removeprefix("file://"), "rb") as f:
+            f.seek(r.offset)
+            headers.append(warc.parse(f.read(r.length))[0])
+    ids = {h["WARC-Record-ID"]: h for h in headers}
+    assert len(ids) == len(PAGES) and len({h["WARC-Date"] for h in headers}) == 1
+    for h in headers:
+        if h["WARC-Type"] == "revisit":
+            of = ids[h["WARC-Refers-To"]]
+            assert of["WARC-Type"] == "response" and (of["WARC-Payload-Digest"], of["X-Page-ID"]) == (h["WARC-Payload-Digest"], h["X-Refers-To-Page-ID"])
 
 
 def test_hot_payloads_leave_their_copies_behind(spark, monkeypatch):

@@ -22,6 +22,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -48,15 +49,21 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def record(page_id: int | None, url: str, digest: str, size: int, payload: bytes | None, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record as a gzip member; a revisit where there is no payload."""
+def response_id(page_id: int | None, digest: str) -> str:
+    """Record id of the response that revisits of a digest refer to: there is one per digest."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'response {page_id} {digest}')}>"
+
+
+def record(page_id: int | None, url: str, digest: str, size: int, payload: bytes | None, refers_to: int | None, place: str, date: str) -> bytes:
+    """One WARC/1.1 record as a gzip member; a revisit where there is no payload. ``place``: archive and offset, which no other record has."""
+    own = response_id(page_id, digest) if payload is not None and size >= MIN_REVISIT else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>",
-        f"WARC-Target-URI: {quote(url, safe=SAFE)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: {own}",
+        f"WARC-Target-URI: {quote(url, safe=SAFE)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {size}", f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if payload is None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {response_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
     block = payload or b""
     head = "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode()
     squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
@@ -85,12 +92,16 @@ class ArchiveWriter:
         self.store.create_dir(self.path, recursive=True)
         self.folder, self.task, self.attempt, self.count, self.stream = folder, task, attempt, 0, None
 
-    def write(self, member: bytes) -> tuple[str, int]:
+    def place(self) -> str:
+        """Archive and offset of the next record, whatever the folder; opens the archive."""
         if self.stream is not None and self.at >= ARCHIVE_BYTES:
             self.close()
         if self.stream is None:
             self.name, self.at = f"archive-{self.task:06d}-{self.count:04d}.warc.gz", 0
             self.stream = self.store.open_output_stream(f"{self.path}/{self.name}.{self.attempt}.part", compression=None)
+        return f"{self.name} {self.at}"
+
+    def write(self, member: bytes) -> tuple[str, int]:
         offset = self.at
         self.stream.write(member)
         self.at += len(member)
@@ -107,8 +118,9 @@ class ArchiveWriter:
         self.stream, self.count = None, self.count + 1
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write all pages to ``folder``, and the index beside them; returns the index as read again."""
+def write_archives(pages: DataFrame, folder: str, date: datetime | None = None) -> DataFrame:
+    """Write all pages to ``folder``, and the index beside them; returns the index as read again. ``date``: of all records, by default now."""
+    written_at = (date or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")  # taken here, so that a task that runs again writes the same
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.length("payload").cast("long"))
     groups = rows.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("hot_id"), F.count("*").alias("n"))
@@ -135,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                         payload, refers_to = None, first
                     else:
                         last, first = digest, page_id
-                member = record(page_id, url, digest, size, payload, refers_to)
+                member = record(page_id, url, digest, size, payload, refers_to, out.place(), written_at)
                 places.append((*out.write(member), len(member)))
             if places:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*places, strict=True)), *(batch.column(c) for c in ("page_id", "url", "payload_digest"))], ["archive", "offset", "length", "page_id", "url", "payload_digest"])
@@ -174,6 +186,8 @@ def read_records(index: DataFrame) -> DataFrame:
         for archive, start, end, members in coalesced(places()):
             if archive != opened:
                 store, path = open_folder(archive)
+                if source is not None:
+                    source.close()
                 opened, source = archive, store.open_input_file(path)
             stretch = memoryview(source.read_at(end - start, start))
             rows = []
@@ -186,6 +200,8 @@ def read_records(index: DataFrame) -> DataFrame:
                 rows.append((number("X-Page-ID"), headers["WARC-Target-URI"], headers["WARC-Type"], number("X-Refers-To-Page-ID"), digest, number("X-Payload-Length"), block if response else None))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
+        if source is not None:
+            source.close()
 
     return dealt.mapInArrow(run, RECORDS)
 
