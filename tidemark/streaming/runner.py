@@ -359,14 +359,14 @@ def run_keyed(feed: DataFrame, spec: StreamSpec, partitions: int | None = None,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from dataclasses import asdict
 
+        letters, saved = NoDeadLetters(), []
+        letters.save = saved.append
+        attempts = Attempts(spec, letters)
         for batch in batches:
             rows = []
             for values in batch.to_pylist():
                 row = Row(**values)
-                saved: list[FailedEvent] = []
-                letters = NoDeadLetters()
-                letters.save = saved.append
-                attempts = Attempts(spec, letters)
+                saved.clear()
                 actions = KeyedActions(spec, attempts)
                 context = Context(row, spec.name, actions, document_type=spec.document_type)
                 handler = spec.handler(row["operation_type"]) if row["operation_type"] != "INVALIDATE" else None
