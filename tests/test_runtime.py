@@ -413,6 +413,21 @@ def test_idle_probe_certifies_a_position():
     assert beat.tick() is None
 
 
+def test_a_stream_that_starts_or_fetches_is_not_probed():
+    beat, clock = heartbeat(iter([("EVENT_PENDING", None)] * 3))
+    work = {"on": True}
+    beat.working = lambda: work["on"]
+    for clock["t"] in range(11, 111, 11):
+        assert beat.tick() is None
+    work["on"] = False
+    assert beat.tick() is None  # the silence begins only now
+    for clock["t"] in (122, 133):
+        assert beat.tick() == "EVENT_PENDING"
+    with pytest.raises(resume.StreamStuckError):
+        clock["t"] = 144
+        beat.tick()
+
+
 def test_stuck_verdict_and_what_defers_it():
     gate = LivenessGate()
     beat, clock = heartbeat(iter([("EVENT_PENDING", None)] * 9), gate)

@@ -117,12 +117,14 @@ class IdleHeartbeat:
 
     ``probe`` takes the position and returns (EMPTY, certified token), (EVENT_PENDING, None) or (FAILED, None). A certified position is
     written before it is published, and only if no event has moved the position meanwhile. ``stuck_after_probes`` sights of
-    waiting events at one position, with no handler at work, are a stuck stream.
+    waiting events at one position, with no handler at work, are a stuck stream. While ``working`` tells that the stream starts or fetches,
+    its silence means nothing and it isn't probed.
     """
 
     def __init__(self, stream: str, store: Any, policy: CheckpointPolicy, probe: Callable[[str | None], tuple[str, str | None]], gate: LivenessGate, metrics: Any = None, clock: Callable[[], float] = time.monotonic, now: Callable[[], datetime] = datetime.now):
         self.stream, self.store, self.policy, self.probe, self.gate = stream, store, policy, probe, gate
         self.metrics, self.clock, self.now = metrics or NoMetrics(), clock, now
+        self.working: Callable[[], bool] = lambda: False
         self.position: str | None = None
         self.moved_at = self.probed_at = clock()
         self.abstentions = self.failures = 0
@@ -140,12 +142,16 @@ class IdleHeartbeat:
     def tick(self) -> str | None:
         """Probe if the stream has been idle for the interval; the outcome, or None when there was no need."""
         wait, now = self.policy.heartbeat_seconds, self.clock()
+        if self.working():
+            with self._lock:
+                self.moved_at = now
+            return None
         if self.cancelled or wait == 0 or now - self.moved_at < wait or now - self.probed_at < wait:
             return None
         self.probed_at = now
         asked = self.position
         outcome, token = self.probe(asked)
-        if self.cancelled:
+        if self.cancelled or self.working():  # meanwhile
             return None
         if outcome == "EMPTY":
             self.failures = self.abstentions = 0

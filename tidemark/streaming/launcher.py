@@ -29,6 +29,8 @@ from tidemark.streaming.runner import Flusher, StrictRunner, utc_now
 REPORT_SECONDS = 60
 # Fixed: seconds between attempts to record a position that has been proven.
 ESTABLISH_SECONDS = 5
+# A query that takes longer to start, or a batch to give its first row, counts as silent.
+START_SECONDS = 60
 TAIL_SECONDS, STOP_SECONDS = 1, 30
 ROLES = ("stream", "heartbeat", "resume-validation")
 
@@ -131,6 +133,13 @@ class Launcher:
         flusher = None
         with attributed(self.spark, "stream", spec.name):
             query = runner.start(self.shape(stream_feed(self.spark, location, **options)), location, seconds=TAIL_SECONDS if tail else 0)
+            began = time.monotonic()
+
+            def working() -> bool:
+                since = runner.fetching or (None if runner.batches or query.lastProgress else began)
+                return since is not None and time.monotonic() - since < START_SECONDS
+
+            beat.working = working
             if runner.anchor is not None:
                 waits = [s for s in (spec.checkpoint.save_seconds, spec.checkpoint.heartbeat_seconds) if s]
                 flusher = Flusher(runner.anchor, min(waits, default=60), beat)
@@ -145,6 +154,9 @@ class Launcher:
                 if flusher is not None:
                     flusher.stop()
                 runner.halt(STOP_SECONDS)
+                if not runner.left(STOP_SECONDS):  # a batch that still waits for its first row
+                    self.spark.sparkContext.cancelJobGroup(query.runId)
+                    runner.left(STOP_SECONDS)
                 query.stop()
                 if runner.anchor is not None:
                     runner.anchor.close()

@@ -208,6 +208,9 @@ class StrictRunner:
         self.last_event_time: datetime | None = None
         self.outcomes: dict[str, int] = {}
         self.stopped = threading.Event()
+        self._at_work = threading.Lock()
+        self.batches = 0
+        self.fetching: float | None = None
         self.on_settled: Callable[[str], None] = lambda token: None
 
     def save_now(self, context: Context) -> bool:
@@ -270,19 +273,31 @@ class StrictRunner:
 
     def batch(self, df: DataFrame, batch_id: int = 0) -> None:
         """foreachBatch function."""
-        last, rows = None, self.prepared(df)
-        for row in (rows.orderBy("seq") if looks_up(self.spec, self.current) else rows.sortWithinPartitions("seq")).toLocalIterator():
-            if last is not None and row["seq"] < last:
-                raise DisorderError(f"{self.spec.name}: event {row['seq']} after {last}; the source must give its partitions in the feed's order")
-            last = row["seq"]
-            outcome = self.event(row)
-            self.outcomes[outcome] = self.outcomes.get(outcome, 0) + 1
+        with self._at_work:
+            if self.stopped.is_set():
+                raise StoppedError(self.spec.name)
+            self.fetching = time.monotonic()
+            last, rows = None, self.prepared(df)
+            for row in (rows.orderBy("seq") if looks_up(self.spec, self.current) else rows.sortWithinPartitions("seq")).toLocalIterator():
+                if last is not None and row["seq"] < last:
+                    raise DisorderError(f"{self.spec.name}: event {row['seq']} after {last}; the source must give its partitions in the feed's order")
+                last = row["seq"]
+                outcome = self.event(row)
+                self.outcomes[outcome] = self.outcomes.get(outcome, 0) + 1
+            self.batches, self.fetching = self.batches + 1, None
 
     def halt(self, seconds: float | None = None) -> bool:
         """No event is delivered any more; waits for the handler at work, if any."""
         self.stopped.set()
         return self.gate.drained(seconds)
 
+    def left(self, seconds: float) -> bool:
+        """After ``halt``: wait until no batch is at work. A query stopped while its batch talks to Spark may leave both waiting for each other."""
+        if not self._at_work.acquire(timeout=seconds):
+            return False
+        self._at_work.release()
+        return True
+
     def start(self, feed: DataFrame, checkpoint_location: str, available_now: bool = False, seconds: float | None = None) -> StreamingQuery:
         """A streaming query named after the stream. LATEST needs a new location for each start, as Spark resumes from an old one."""
         if seconds is None:
