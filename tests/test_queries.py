@@ -49,6 +49,21 @@ def test_replay_delivers_the_failed_batch_again(spark, sf_dir):
     assert {r.anchor for r in rows.values()} == {f"{len(rows) - 1:019d}"} or int(next(iter(rows.values())).anchor) >= len(rows) - 100
 
 
+def test_replay_that_fails_a_second_time_gives_no_result(spark, monkeypatch):
+    from tidemark.streaming.runner import StrictRunner
+
+    event = StrictRunner.event
+
+    def broken(self, row):
+        if row["seq"] == 6000:
+            raise OSError("the disk is full")
+        return event(self, row)
+
+    monkeypatch.setattr(StrictRunner, "event", broken)
+    with pytest.raises(Exception, match="the disk is full"):
+        QUERIES["stream_replay"](spark, "/root/testdata/sf0.01")
+
+
 def test_stream_dead_letters(spark, sf_dir):
     """Against a plain loop over the events."""
     want = []

@@ -485,6 +485,18 @@ def test_supervisor_counts_anew_after_proof_and_stops_on_lost_history():
     assert mg.Supervisor("s", lambda g: (_ for _ in ()).throw(e) if (e := next(ends)) else None, sleep=waits.append).run() == "GRACEFUL"
 
 
+def test_a_batch_that_does_not_end_is_an_error():
+    from tidemark.streaming.manager import Supervisor
+    from tidemark.streaming.runner import StillAtWorkError
+
+    runner, metrics = StrictRunner(sp.stream("s").on_change(handler).build()), CountingMetrics()
+    runner.left(0.01)
+    supervisor = Supervisor("s", lambda n: runner.left(0.01), metrics=metrics)
+    with runner._at_work, pytest.raises(StillAtWorkError):
+        supervisor.run()
+    assert supervisor.generation == 1 and metrics.last["on_stream_stopped"][1] == "CRASHED"
+
+
 def test_election():
     locks, log, clock = MemoryLocks(), [], {"t": 0}
     make = lambda n: mg.LeaderElection("s", locks, n, lambda: log.append(f"{n}+"), lambda: log.append(f"{n}-"), now=lambda: clock["t"])

@@ -23,7 +23,7 @@ from tidemark.stores.memory import MemoryCheckpoints, MemoryDeadLetters
 from tidemark.streaming.anchors import IdleHeartbeat
 from tidemark.streaming.manager import LeaderElection, Supervisor
 from tidemark.streaming.metrics import NoMetrics
-from tidemark.streaming.runner import Flusher, StrictRunner, utc_now
+from tidemark.streaming.runner import Flusher, StillAtWorkError, StrictRunner, utc_now
 
 # Fixed: seconds between reports of backlog and history.
 REPORT_SECONDS = 60
@@ -154,14 +154,22 @@ class Launcher:
                 if flusher is not None:
                     flusher.stop()
                 runner.halt(STOP_SECONDS)
-                if not runner.left(STOP_SECONDS):  # a batch that still waits for its first row
-                    self.spark.sparkContext.cancelJobGroup(query.runId)
-                    runner.left(STOP_SECONDS)
-                query.stop()
-                if runner.anchor is not None:
-                    runner.anchor.close()
+                try:
+                    self._leave(query, runner)
+                finally:
+                    query.stop()
+                    if runner.anchor is not None:
+                        runner.anchor.close()
         return runner
 
+    def _leave(self, query: Any, runner: StrictRunner) -> None:
+        """Until no batch is at work; an error if one can't be ended."""
+        try:
+            runner.left(STOP_SECONDS)
+        except StillAtWorkError:  # it waits for its first row
+            self.spark.sparkContext.cancelJobGroup(query.runId)
+            runner.left(STOP_SECONDS)
+
     def _watch(self, query: Any, spec: StreamSpec, runner: StrictRunner, flusher: Flusher | None, stop: threading.Event) -> None:
         """Until the stream is stopped, is found stuck, or ends by itself; reports meanwhile."""
         reported = time.monotonic()

@@ -13,7 +13,7 @@ from tidemark.functions.policies import RestartPolicy
 from tidemark.operators.resume import HistoryLostError, is_history_lost
 from tidemark.plans.spec import Registry, StreamSpec
 from tidemark.streaming.metrics import NoMetrics
-from tidemark.streaming.runner import StopStream
+from tidemark.streaming.runner import StillAtWorkError, StopStream
 
 # Fixed: lease length, renewal and standby poll in seconds.
 LEASE_TTL, LEASE_RENEW, LEASE_POLL = 60, 15, 20
@@ -23,7 +23,8 @@ class Supervisor:
     """Runs ``start`` (which blocks until the stream ends) again and again.
 
     A generation that has lived for the policy's longest delay is proven: the attempt counter starts anew. Lost history is
-    terminal, as is a stream whose lifecycle event forbids a restart; so is the end of the policy's attempts.
+    terminal, as is a stream whose lifecycle event forbids a restart; so is the end of the policy's attempts. A generation whose batch can't
+    be ended is terminal too, even for a stopped stream: another one would deliver beside it.
     """
 
     def __init__(self, stream: str, start: Callable[[int], None], policy: RestartPolicy | None = None, metrics: Any = None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
@@ -61,6 +62,9 @@ class Supervisor:
                 return "GRACEFUL"
             except Exception as error:
                 cause = error
+            if isinstance(cause, StillAtWorkError):
+                self.metrics.on_stream_stopped(self.stream, "CRASHED", cause)
+                raise cause
             if self.stopped:
                 break
             root = _root(cause)

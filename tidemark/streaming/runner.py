@@ -40,6 +40,10 @@ class StoppedError(RuntimeError):
     """The runner was told to stop; the batch at work isn't settled and comes again."""
 
 
+class StillAtWorkError(RuntimeError):
+    """A batch is at work after the time it had to end; nothing may run in its place."""
+
+
 class DisorderError(RuntimeError):
     """The source's partitions aren't in the feed's order."""
 
@@ -291,12 +295,11 @@ class StrictRunner:
         self.stopped.set()
         return self.gate.drained(seconds)
 
-    def left(self, seconds: float) -> bool:
-        """After ``halt``: wait until no batch is at work. A query stopped while its batch talks to Spark may leave both waiting for each other."""
+    def left(self, seconds: float) -> None:
+        """After ``halt``: wait until no batch is at work; an error if one still is. A query stopped while its batch talks to Spark may leave both waiting for each other."""
         if not self._at_work.acquire(timeout=seconds):
-            return False
+            raise StillAtWorkError(f"{self.spec.name}: a batch is still at work after {seconds} s")
         self._at_work.release()
-        return True
 
     def start(self, feed: DataFrame, checkpoint_location: str, available_now: bool = False, seconds: float | None = None) -> StreamingQuery:
         """A streaming query named after the stream. LATEST needs a new location for each start, as Spark resumes from an old one."""
