@@ -49,6 +49,19 @@ def test_replay_delivers_the_failed_batch_again(spark, sf_dir):
     assert {r.anchor for r in rows.values()} == {f"{len(rows) - 1:019d}"} or int(next(iter(rows.values())).anchor) >= len(rows) - 100
 
 
+@pytest.mark.parametrize(("name", "most"), [("stream_replay", 2), ("stream_dlq", 1)])
+def test_a_backlog_is_planned_at_once_and_delivered_in_batches(spark, monkeypatch, name, most):
+    """10,000 events: four batches of 2500 of Spark's own took as many rounds of planning and logging."""
+    from tidemark.streaming.runner import StrictRunner
+
+    batch, rounds = StrictRunner.batch, []
+    monkeypatch.setattr(StrictRunner, "batch", lambda self, df, n=0: (rounds.append(n), batch(self, df, n))[1])
+    rows = QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    assert len(rounds) <= most
+    if name == "stream_replay":
+        assert sorted(r.seq for r in rows if r.deliveries == 2) == list(range(2500, 2700)) and {r.anchor for r in rows} == {f"{9999:019d}"}
+
+
 def test_replay_that_fails_a_second_time_gives_no_result(spark, monkeypatch):
     from tidemark.streaming.runner import StrictRunner
 

@@ -386,6 +386,51 @@ def test_anchor_counts_from_the_last_confirmed_write():
     assert anchor.save_now("g", NOW) and not anchor.flush()
 
 
+def test_letters_are_written_before_an_anchor_or_a_turn_passes_them(spark, tmp_path):
+    from tidemark.stores.memory import MemoryDeadLetters
+    from tidemark.streaming.anchors import Turns
+
+    log, store = [], MemoryCheckpoints()
+
+    class Held(MemoryDeadLetters):
+        def flush(self):
+            log.append((len(self._rows), store.find("s") and store.find("s").last_processed_token, turns.last))
+
+    turns = Turns(spark, f"file://{tmp_path}/q", 4)
+    runner = StrictRunner(sp.stream("s").options(checkpoint=sp.CheckpointPolicy(save_every=3), dead_letters=sp.DeadLetterPolicy()).on_insert(lambda ctx: 1 / 0).build(), store, Held())
+    runner.turns = turns
+    runner.batch(feed(spark, [("INSERT", 1)] * 9))
+    assert [n for n, _, _ in log] == [3, 4, 6, 8, 9, 9] and [t for _, _, t in log] == [None, None, 3, 3, 7, 7] and log[-1][1] == f"{8:012d}"
+    again = StrictRunner(runner.spec, MemoryCheckpoints(), Held())
+    again.turns = Turns(spark, f"file://{tmp_path}/q", 4)
+    again.batch(feed(spark, [("INSERT", 1)] * 9))
+    assert again.outcomes == {"DEAD_LETTER": 1}  # the ninth; two turns had ended
+
+
+def test_stack_texts_are_those_of_traceback():
+    import traceback
+
+    loop = Attempts(sp.stream("s").on_insert(lambda ctx: None).build())
+
+    def fail(how):
+        try:
+            if how == "chained":
+                raise ValueError("inner")
+        except ValueError as inner:
+            raise TypeError("outer") from inner
+        if how == "noted":
+            error = KeyError("x")
+            error.add_note("a note")
+            raise error
+        raise OSError(f"no {how}")
+
+    for how in ("first", "second", "chained", "noted"):
+        try:
+            fail(how)
+        except Exception as error:
+            assert loop.stack(error) == "".join(traceback.format_exception(error))
+
+
 def test_gate():
     gate = LivenessGate()
     assert gate.enter() and not gate.claim_stuck() and not gate.begin_repair()

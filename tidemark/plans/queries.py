@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -587,10 +589,14 @@ def shared_location(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
+STREAM_EVENTS = 2500
+
+
 def _stream_of(spark: SparkSession, sf_dir: str, location: str) -> DataFrame:
+    """Events in batches of STREAM_EVENTS, many of which make a micro-batch; the runner's turns keep them apart."""
     from tidemark.sources.feed import stream_feed
 
-    events = stream_feed(spark, location, path=f"{sf_dir}/events.parquet", maxEventsPerBatch=2500)
+    events = stream_feed(spark, location, path=f"{sf_dir}/events.parquet", maxEventsPerBatch=STREAM_EVENTS, batchesAtOnce=100)
     kind = envelope.mapped(F.col("event_type"), envelope.EVENT_OPERATIONS)
     return events.select(F.col("event_id").alias("seq"), envelope.resume_token(F.col("event_id")).alias("resume_token"), kind.alias("operation_type"), F.lit("events").alias("coll"), F.col("user_id").alias("document_key"), F.col("ts").alias("cluster_time"), "event_type", "value")
 
@@ -603,9 +609,14 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.stores.memory import MemoryCheckpoints
     from tidemark.streaming.runner import StrictRunner
 
-    delivered: dict[int, int] = {}
+    location = shared_location(spark, "replay")
+    delivered, folder = array("q"), f"{location}-delivered"
     crash = {"left": 1}
 
+    def put() -> None:
+        spark.createDataFrame(pa.table({"seq": pa.array(np.array(delivered, dtype=np.int64))})).write.mode("append").parquet(folder)
+        del delivered[:]
+
     def accepts(context) -> bool:
         if context.seq == 2700 and crash["left"]:
             crash["left"] = 0
@@ -613,13 +624,15 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         return True
 
     def handle(context) -> None:
-        delivered[context.seq] = delivered.get(context.seq, 0) + 1
+        delivered.append(context.seq)
+        if len(delivered) >= 1_000_000:
+            put()
 
-    store, location = MemoryCheckpoints(), shared_location(spark, "replay")
+    store = MemoryCheckpoints()
 
     def run() -> None:
         spec = stream("replay").options(collection="events", checkpoint=CheckpointPolicy(save_every=100)).on_change(handle).filter(accepts).build()
-        drain(StrictRunner(spec, store).start(_stream_of(spark, sf_dir, location), location, seconds=0))
+        drain(StrictRunner(spec, store).start(_stream_of(spark, sf_dir, location), location, seconds=0, turn_events=STREAM_EVENTS))
 
     try:
         run()
@@ -627,8 +640,9 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         if crash["left"]:  # not the failure that is meant
             raise
     run()  # whatever fails here is the query's failure
+    put()
     anchor = store.find("replay").last_processed_token
-    return spark.createDataFrame([(k, n, anchor) for k, n in delivered.items()], "seq long, deliveries int, anchor string")
+    return spark.read.parquet(folder).groupBy("seq").agg(F.count("*").cast("int").alias("deliveries")).withColumn("anchor", F.lit(anchor))
 
 
 @query()
@@ -650,7 +664,7 @@ def stream_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
     retry = RetryPolicy(2, "1ms", "1ms", 1.0, False)
     spec = stream("letters").options(collection="events", checkpoint=CheckpointPolicy(save_every=500), retry=retry, dead_letters=DeadLetterPolicy()).on_replace(purchase).on_delete(refuse).build()
     location, runner = shared_location(spark, "letters"), StrictRunner(spec, MemoryCheckpoints(), letters, sleep=lambda s: None)
-    drain(runner.start(_stream_of(spark, sf_dir, location), location, seconds=0))
+    drain(runner.start(_stream_of(spark, sf_dir, location), location, seconds=0, turn_events=STREAM_EVENTS))
     rows = [(e.id, e.document_key, e.error.type, e.attempts, e.status) for e in letters.find_by_stream("letters")]
     return spark.createDataFrame(rows, "id string, document_key string, error_type string, attempts int, status string")
 

@@ -1,7 +1,8 @@
 """The "feed" data source: events of a Parquet table in sequence order, in batch and as a stream.
 
-Options: ``path`` (a folder or file the executors can read), ``sequence`` (the ordering column), ``maxEventsPerBatch``, one of ``startAfter``
-(a token, exclusive), ``startSeq`` (inclusive) or ``latest``, and ``oldest`` (the first event kept; asking for earlier ones is lost history).
+Options: ``path`` (a folder or file the executors can read), ``sequence`` (the ordering column), ``maxEventsPerBatch``, ``batchesAtOnce`` (how many such
+batches Spark may plan as one; the strict runner's turns keep them apart), one of ``startAfter`` (a token, exclusive), ``startSeq`` (inclusive) or ``latest``,
+and ``oldest`` (the first event kept; asking for earlier ones is lost history).
 Parts and batches are cut by numbers of events, which row groups' statistics give; numbers themselves may be as sparse as they like. Footers are
 read once per file, and a part opens only the files that hold some of it. A stream's offset is the last sequence number delivered, so a restart delivers the batch that was not committed again, row for row.
 A plain ``spark.readStream.parquet`` suits feeds that need no order across files.
@@ -150,7 +151,7 @@ class FeedReader(DataSourceReader):
 class FeedStreamReader(DataSourceStreamReader):
     def __init__(self, table: _Table, names: list[str], options: dict):
         self.table, self.names, self.options = table, names, options
-        self.most = int(options.get("maxeventsperbatch", 10_000))
+        self.most = int(options.get("maxeventsperbatch", 10_000)) * int(options.get("batchesatonce", 1))
         self.reached: int | None = None
 
     def initialOffset(self) -> dict:
@@ -164,7 +165,7 @@ class FeedStreamReader(DataSourceStreamReader):
         return {"seq": after}
 
     def latestOffset(self) -> dict:
-        """About ``maxEventsPerBatch`` events beyond what has been planned, so that a batch is bounded."""
+        """About ``maxEventsPerBatch`` events, ``batchesAtOnce`` times, beyond what has been planned, so that a batch is bounded."""
         if self.reached is None:
             self.reached = int(self.options.get("resumed", self.initialOffset()["seq"]))
         groups = self.table.groups()

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from datetime import datetime
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 from tidemark.operators.resume import StreamStuckError
 from tidemark.plans.spec import CheckpointPolicy
 from tidemark.streaming.metrics import NoMetrics
@@ -26,6 +28,7 @@ class ProcessedAnchor:
         self.confirmed: str | None = None
         self.owed = 0
         self.closed = False
+        self.before_write: Callable[[], None] = lambda: None
         self._lock = threading.RLock()
 
     def _write(self) -> bool:
@@ -33,6 +36,7 @@ class ProcessedAnchor:
             return False
         token, at = self.latest
         try:
+            self.before_write()
             self.store.save_processed(self.stream, token, at)
         except Exception as error:
             self.metrics.on_checkpoint_failed(self.stream, error)
@@ -65,6 +69,33 @@ class ProcessedAnchor:
             self.closed = True
 
 
+class Turns:
+    """How far a strict query has come inside a micro-batch: after each ``events`` settled events their last number, as an empty file's name.
+
+    A micro-batch costs Spark a good part of a second however small it is, so a long backlog is planned in large ones; a query that starts again
+    gets its last one whole, and goes on after the last turn that ended. The files lie in the query's checkpoint location; two at most are kept.
+    """
+
+    def __init__(self, spark: SparkSession, location: str, events: int):
+        self.events = events
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._folder = f"{location.rstrip('/')}/turns"
+        folder = self._path(self._folder)
+        self._store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._store.mkdirs(folder)
+        self._kept = sorted(name for status in self._store.listStatus(folder) if (name := status.getPath().getName()).isdigit())
+
+    @property
+    def last(self) -> int | None:
+        return int(self._kept[-1]) if self._kept else None
+
+    def ended(self, seq: int) -> None:
+        self._store.createNewFile(self._path(f"{self._folder}/{seq:019d}"))
+        self._kept.append(f"{seq:019d}")
+        while len(self._kept) > 2:
+            self._store.delete(self._path(f"{self._folder}/{self._kept.pop(0)}"), False)
+
+
 class LivenessGate:
     """Who may act on a stream: a handler, the stuck verdict or a repair; one at a time."""
 
@@ -75,7 +106,8 @@ class LivenessGate:
     def enter(self) -> bool:
         """Before an event is handled. A repair makes it wait; a stuck generation drops it, to be delivered again."""
         with self._free:
-            self._free.wait_for(lambda: self.state != "REPAIRING")
+            while self.state == "REPAIRING":
+                self._free.wait()
             if self.state == "STUCK":
                 return False
             self.state = "HANDLING"

@@ -16,10 +16,13 @@ CALLBACKS = (
 class NoMetrics:
     """Takes every callback and does nothing. A provider derives from this and defines the ones it wants."""
 
-    def __getattr__(self, name: str) -> Any:
-        if name in CALLBACKS:
-            return lambda *args, **kwargs: None
-        raise AttributeError(name)
+
+def _ignored(self: NoMetrics, *args: Any, **kwargs: Any) -> None:
+    pass
+
+
+for _name in CALLBACKS:
+    setattr(NoMetrics, _name, _ignored)
 
 
 class CountingMetrics(NoMetrics):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import inspect
 import threading
 import time
@@ -21,10 +22,11 @@ from tidemark.operators.resume import StreamStuckError
 from tidemark.plans.spec import DeadLetterPolicy, StreamSpec, resolve_error, takes
 from tidemark.sources.envelope import LIFECYCLE
 from tidemark.stores.memory import ErrorInfo, FailedEvent, NoCheckpoints, NoDeadLetters
-from tidemark.streaming.anchors import LivenessGate, ProcessedAnchor
+from tidemark.streaming.anchors import LivenessGate, ProcessedAnchor, Turns
 from tidemark.streaming.metrics import NoMetrics
 
 BACKLOG_SECONDS = 5
+STACKS = 1000
 META = ("seq", "resume_token", "operation_type", "db", "coll", "document_key", "cluster_time", "wall_time", "before", "update_description", "lsid", "txn_number")
 
 
@@ -104,8 +106,6 @@ class Context:
 
     @property
     def event_id(self) -> str:
-        import hashlib
-
         return hashlib.sha256(f"{self.stream}|{self.row['resume_token']}".encode()).hexdigest()
 
     def add_metadata(self, key: str, value: Any) -> None:
@@ -124,10 +124,35 @@ class Attempts:
     def __init__(self, spec: StreamSpec, letters: Any = None, metrics: Any = None, sleep: Callable[[float], None] = time.sleep, now: Callable[[], datetime] = utc_now):
         self.spec, self.letters, self.metrics, self.sleep, self.now = spec, letters or NoDeadLetters(), metrics or NoMetrics(), sleep, now
         self.counted: float | None = None
+        self._forms: dict[int, tuple[Callable, str]] = {}  # with the handler, so that no other one gets its number
+        self._stacks: dict[tuple, str] = {}
 
     def call(self, handler: Callable, context: Context) -> None:
-        form = takes(handler)
-        handler(*{"context": (context,), "document": (context.document,), "document, context": (context.document, context)}[form])
+        known = self._forms.get(id(handler))
+        if known is None:
+            known = self._forms[id(handler)] = (handler, takes(handler))
+        form = known[1]
+        if form == "context":
+            handler(context)
+        elif form == "document":
+            handler(context.document)
+        else:
+            handler(context.document, context)
+
+    def stack(self, error: BaseException) -> str:
+        """As traceback.format_exception has it; the frames of errors from one place are formatted once."""
+        at, places = error.__traceback__, []
+        while at is not None:
+            places.append((at.tb_frame.f_code, at.tb_lasti))
+            at = at.tb_next
+        if not places or error.__cause__ is not None or error.__context__ is not None or isinstance(error, (BaseExceptionGroup, SyntaxError)):
+            return "".join(traceback.format_exception(error))
+        places = tuple(places)
+        if places not in self._stacks:
+            if len(self._stacks) >= STACKS:
+                self._stacks.clear()
+            self._stacks[places] = "".join(traceback.format_tb(error.__traceback__))
+        return "".join(["Traceback (most recent call last):\n", self._stacks[places], *traceback.format_exception_only(error)])
 
     def run(self, handler: Callable, context: Context) -> str:
         """HANDLED, SKIPPED or DEAD_LETTER. An interrupted wait leaves the event unsettled: it escapes as it is."""
@@ -158,7 +183,7 @@ class Attempts:
 
     def letter(self, context: Context, error: BaseException, first: datetime, policy: DeadLetterPolicy, stack: bool) -> FailedEvent:
         now = self.now()
-        trace = "".join(traceback.format_exception(error)) if stack else None
+        trace = self.stack(error) if stack else None
         return FailedEvent(
             id=context.event_id, stream_name=self.spec.name, operation_type=context.operation_type, document_key=document_key_json(context.document_key), full_document=canonical_json(as_values(context.document)) if policy.include_document else None,
             resume_token=context.resume_token, error=ErrorInfo(type(error).__name__, str(error), trace), attempts=context.attempt, first_attempt_at=first, last_attempt_at=now, created_at=now,
@@ -179,7 +204,9 @@ class Attempts:
         self.backlog()
 
     def backlog(self) -> None:
-        """The gauge of waiting letters, counted at most every BACKLOG_SECONDS; a count that fails says nothing of the letters."""
+        """The gauge of waiting letters, counted at most every BACKLOG_SECONDS, if anything takes it; a count that fails says nothing of the letters."""
+        if type(self.metrics) is NoMetrics:
+            return
         if self.counted is None or time.monotonic() - self.counted >= BACKLOG_SECONDS:
             self.counted = time.monotonic()
             with contextlib.suppress(Exception):
@@ -198,7 +225,8 @@ class StrictRunner:
     """One event at a time, in order; every event is settled before the next, and only settlements move the processed anchor.
 
     A micro-batch is bounded by its source and read partition by partition. If an event is not settled (its handler's wait was
-    interrupted, a filter failed), the batch fails there and is delivered again: dead letters have ids that a replay repeats.
+    interrupted, a filter failed), the batch fails there and is delivered again, with ``turn_events`` from the last turn on: dead letters
+    have ids that a replay repeats. A store of letters that holds some back (it has ``flush``) writes them before an anchor or a turn passes them.
     """
 
     def __init__(self, spec: StreamSpec, checkpoints: Any = None, letters: Any = None, metrics: Any = None, sleep: Callable[[float], None] = time.sleep, now: Callable[[], datetime] = utc_now, current: Callable[[], DataFrame] | None = None):
@@ -206,7 +234,11 @@ class StrictRunner:
         self.letters = letters or NoDeadLetters()
         self.attempts = Attempts(spec, self.letters, self.metrics, sleep, now)
         self.anchor = ProcessedAnchor(spec.name, checkpoints or NoCheckpoints(), spec.checkpoint, self.metrics) if spec.checkpoint else None
+        self.flush_letters: Callable[[], None] = getattr(self.letters, "flush", lambda: None)
+        if self.anchor is not None:
+            self.anchor.before_write = self.flush_letters
         self.gate = LivenessGate()
+        self.turns: Turns | None = None
         self.pipeline = spec.compiled()
         self.cause: str | None = None
         self.last_event_time: datetime | None = None
@@ -264,10 +296,10 @@ class StrictRunner:
                 outcome = self.attempts.run(handler, context)
         finally:
             self.gate.leave()
-        self.last_event_time = self.now()
+        self.last_event_time, token = self.now(), row["resume_token"]
         if self.anchor is not None and operation not in LIFECYCLE:
-            self.anchor.settle(row["resume_token"], row["cluster_time"] or self.now())
-        self.on_settled(row["resume_token"])
+            self.anchor.settle(token, row["cluster_time"] or self.last_event_time)
+        self.on_settled(token)
         return outcome
 
     def accepts(self, row: Row, context: Context) -> bool:
@@ -281,13 +313,22 @@ class StrictRunner:
             if self.stopped.is_set():
                 raise StoppedError(self.spec.name)
             self.fetching = time.monotonic()
-            last, rows = None, self.prepared(df)
+            if self.turns is not None and not self.batches and self.turns.last is not None:  # of this batch or an earlier one
+                df = df.where(F.col("seq") > self.turns.last)
+            last, done, rows = None, 0, self.prepared(df)
             for row in (rows.orderBy("seq") if looks_up(self.spec, self.current) else rows.sortWithinPartitions("seq")).toLocalIterator():
-                if last is not None and row["seq"] < last:
-                    raise DisorderError(f"{self.spec.name}: event {row['seq']} after {last}; the source must give its partitions in the feed's order")
-                last = row["seq"]
+                seq = row["seq"]
+                if last is not None and seq < last:
+                    raise DisorderError(f"{self.spec.name}: event {seq} after {last}; the source must give its partitions in the feed's order")
+                last = seq
                 outcome = self.event(row)
                 self.outcomes[outcome] = self.outcomes.get(outcome, 0) + 1
+                if outcome != "DROPPED" and self.turns is not None:
+                    done += 1
+                    if done % self.turns.events == 0:
+                        self.flush_letters()
+                        self.turns.ended(last)
+            self.flush_letters()
             self.batches, self.fetching = self.batches + 1, None
 
     def halt(self, seconds: float | None = None) -> bool:
@@ -301,8 +342,10 @@ class StrictRunner:
             raise StillAtWorkError(f"{self.spec.name}: a batch is still at work after {seconds} s")
         self._at_work.release()
 
-    def start(self, feed: DataFrame, checkpoint_location: str, available_now: bool = False, seconds: float | None = None) -> StreamingQuery:
+    def start(self, feed: DataFrame, checkpoint_location: str, available_now: bool = False, seconds: float | None = None, turn_events: int | None = None) -> StreamingQuery:
         """A streaming query named after the stream. LATEST needs a new location for each start, as Spark resumes from an old one."""
+        if turn_events is not None:
+            self.turns = Turns(feed.sparkSession, checkpoint_location, turn_events)
         if seconds is None:
             seconds = max(self.spec.checkpoint.save_seconds if self.spec.checkpoint else 0, 1)
         writer = feed.writeStream.queryName(self.spec.name).foreachBatch(self.batch).option("checkpointLocation", checkpoint_location)
