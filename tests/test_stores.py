@@ -95,6 +95,37 @@ def test_letters(letters):
     assert letters.find_by_stream("my-stream") == []
 
 
+def test_letters_in_files(spark, tmp_path):
+    from tidemark.stores.files import FileDeadLetters
+
+    folder = f"file://{tmp_path}/letters"
+    test_letters(FileDeadLetters(spark, folder))
+    store = FileDeadLetters(spark, folder)
+    store.save(letter("a", error=memory.ErrorInfo("E", "two\nlines \u00e9\U0001f600", None)))
+    assert FileDeadLetters(spark, folder).find("a") is None  # held back
+    store.flush()
+    store.close()
+    assert FileDeadLetters(spark, folder).find("a") == letter("a", error=memory.ErrorInfo("E", "two\nlines \u00e9\U0001f600", None))
+    with open(f"{tmp_path}/letters/letters-torn.json", "w") as torn:
+        torn.write('{"number": 1, "deleted": false, "id": "b", "stre')
+    assert {e.id for e in FileDeadLetters(spark, folder).find_by_stream("my-stream")} == {"a"}
+
+
+def test_letters_that_cannot_be_written_stay_waiting(spark, tmp_path, monkeypatch):
+    from tidemark.stores.files import FileDeadLetters
+
+    class Broken:
+        def write(self, data):
+            raise OSError("the disk is full")
+
+    store = FileDeadLetters(spark, f"file://{tmp_path}/letters")
+    store.save(letter("a"))
+    store._out = Broken()
+    with pytest.raises(OSError):
+        store.flush()
+    assert store.find("a") == letter("a")
+
+
 def test_letters_by_table(tmp_path):
     store = sqlite.SqliteDeadLetters(str(tmp_path / "d.db"), tables={"other": "other_letters"})
     store.save(letter("a"))

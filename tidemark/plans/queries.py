@@ -650,7 +650,8 @@ def stream_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dead letters of a strict stream whose handler refuses errors and fails on expensive purchases."""
     from tidemark.plans.spec import CheckpointPolicy, DeadLetterPolicy, stream
     from tidemark.sources.feed import drain
-    from tidemark.stores.memory import MemoryCheckpoints, MemoryDeadLetters
+    from tidemark.stores.files import FileDeadLetters
+    from tidemark.stores.memory import MemoryCheckpoints
     from tidemark.streaming.runner import StrictRunner
 
     def purchase(document, context) -> None:
@@ -660,13 +661,13 @@ def stream_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
     def refuse(context) -> None:
         context.send_to_dead_letters("refused")
 
-    letters = MemoryDeadLetters()
+    location = shared_location(spark, "letters")
+    letters = FileDeadLetters(spark, f"{location}-written")
     retry = RetryPolicy(2, "1ms", "1ms", 1.0, False)
     spec = stream("letters").options(collection="events", checkpoint=CheckpointPolicy(save_every=500), retry=retry, dead_letters=DeadLetterPolicy()).on_replace(purchase).on_delete(refuse).build()
-    location, runner = shared_location(spark, "letters"), StrictRunner(spec, MemoryCheckpoints(), letters, sleep=lambda s: None)
+    runner = StrictRunner(spec, MemoryCheckpoints(), letters, sleep=lambda s: None)
     drain(runner.start(_stream_of(spark, sf_dir, location), location, seconds=0, turn_events=STREAM_EVENTS))
-    rows = [(e.id, e.document_key, e.error.type, e.attempts, e.status) for e in letters.find_by_stream("letters")]
-    return spark.createDataFrame(rows, "id string, document_key string, error_type string, attempts int, status string")
+    return letters.table("id", "document_key", "error_type", "attempts", "status")
 
 
 @query("""WITH {feed} SELECT seq, CASE operation_type WHEN 'REPLACE' THEN (CASE WHEN value > 90 THEN 'DEAD_LETTER' ELSE 'HANDLED' END) WHEN 'INSERT' THEN 'HANDLED' ELSE 'NO_HANDLER' END AS outcome,
