@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from datetime import datetime
 
@@ -609,6 +610,26 @@ def test_manual_actions_of_a_parallel_run(spark):
     assert {r.error_type for r in run_keyed(feed, without).where("outcome = 'DEAD_LETTER'").collect()} == {"ActionUnavailableError"}
 
 
+def test_keyed_tasks_do_not_grow_with_the_feed(spark, monkeypatch):
+    from tidemark.streaming import runner
+
+    monkeypatch.setattr(runner, "KEYED_EVENTS", 50)
+    spec = sp.stream("s").options(dead_letters=sp.DeadLetterPolicy()).on_insert(lambda context: 1 // (context.seq % 10)).build()
+    largest = []
+    for n in (1000, 4000):
+        feed = spark.range(n).selectExpr("id AS seq", "cast(id AS string) AS resume_token", "'INSERT' AS operation_type", f"id % {n // 4} AS document_key", "cast(null AS timestamp_ntz) AS cluster_time")
+        rows = run_keyed(feed, spec).withColumn("task", F.spark_partition_id()).collect()
+        assert len(rows) == n and all(r.outcome == ("DEAD_LETTER" if r.seq % 10 == 0 else "HANDLED") for r in rows)
+        homes = {}
+        for r in rows:  # a key's events meet in one task, in order
+            homes.setdefault(r.document_key, []).append((r.task, r.seq))
+        assert all(len({t for t, _ in h}) == 1 and h == sorted(h) for h in homes.values())
+        largest.append(max(sum(r.task == t for r in rows) for t in {r.task for r in rows}))
+    assert max(largest) < 150
+    letter = json.loads(next(r.letter for r in rows if r.seq == 0))
+    assert letter["error"]["type"] == "ZeroDivisionError" and letter["attempts"] == 1 and letter["resume_token"] == "0"
+
+
 def test_events_out_of_order_are_an_error(spark):
     feed = spark.range(20).selectExpr("20 - id AS seq", "cast(id AS string) AS resume_token", "'INSERT' AS operation_type", "id AS document_key", "cast(null AS timestamp_ntz) AS cluster_time").repartitionByRange(4, F.desc("seq"))
     runner = StrictRunner(sp.stream("s").on_insert(lambda document: None).build())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import inspect
+import math
 import threading
 import time
 import traceback
@@ -27,6 +28,7 @@ from tidemark.streaming.metrics import NoMetrics
 
 BACKLOG_SECONDS = 5
 STACKS = 1000
+KEYED_EVENTS = 50_000
 META = ("seq", "resume_token", "operation_type", "db", "coll", "document_key", "cluster_time", "wall_time", "before", "update_description", "lsid", "txn_number")
 
 
@@ -386,6 +388,10 @@ def with_images(spec: StreamSpec, events: DataFrame, current: Callable[[], DataF
     return out
 
 
+def plain_letter(letter: FailedEvent) -> dict[str, Any]:
+    return {**vars(letter), "error": vars(letter.error)}
+
+
 OUTCOME = "seq long, resume_token string, document_key string, outcome string, attempts int, error_type string, error_message string, letter string, manual array<string>"
 
 
@@ -409,17 +415,17 @@ def run_keyed(feed: DataFrame, spec: StreamSpec, partitions: int | None = None,
     """Keys in parallel, each in order: outcome of every event. Handlers run on the executors; letters come back as rows.
 
     Rows are dealt by key, sorted, and stream through; no group is held. Retries wait in place and so hold back their partition only.
+    Without ``partitions`` the events are counted first: there are as many partitions as make KEYED_EVENTS events each on average, and no
+    fewer than Spark's setting, so that a task's work doesn't grow with the feed. Only a key's own events can't be divided.
     """
     import pyarrow as pa
 
     prepared = with_images(spec, spec.compiled()(feed), current)
     if isinstance(spec.filter, Column):
         prepared = prepared.withColumn("_accepted", F.coalesce(spec.filter, F.lit(False)))
-    n = partitions or int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(feed.count() / KEYED_EVENTS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dataclasses import asdict
-
         letters, saved = NoDeadLetters(), []
         letters.save = saved.append
         attempts = Attempts(spec, letters)
@@ -434,7 +440,7 @@ def run_keyed(feed: DataFrame, spec: StreamSpec, partitions: int | None = None,
                 accepted = spec.filter is None or (values["_accepted"] if isinstance(spec.filter, Column) else spec.filter(context))
                 outcome = "LIFECYCLE" if row["operation_type"] == "INVALIDATE" else "NO_HANDLER" if handler is None else attempts.run(handler, context) if accepted else "FILTERED"
                 error = saved[0].error if saved else None
-                rows.append((row["seq"], row["resume_token"], str(row["document_key"]), outcome, context.attempt, error and error.type, error and error.message, canonical_json(asdict(saved[0])) if saved else None, [canonical_json(asdict(m)) for m in actions.manual]))
+                rows.append((row["seq"], row["resume_token"], str(row["document_key"]), outcome, context.attempt, error and error.type, error and error.message, canonical_json(plain_letter(saved[0])) if saved else None, [canonical_json(plain_letter(m)) for m in actions.manual]))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
             names = [f.split()[0] for f in OUTCOME.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
