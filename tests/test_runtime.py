@@ -630,6 +630,22 @@ def test_keyed_tasks_do_not_grow_with_the_feed(spark, monkeypatch):
     assert letter["error"]["type"] == "ZeroDivisionError" and letter["attempts"] == 1 and letter["resume_token"] == "0"
 
 
+def test_keyed_tasks_are_not_merged_after_a_lookup(spark):
+    """A join that Spark plans by sorting and then does by broadcast had taken the place of the keys' own exchange."""
+    from tidemark.sources.envelope import events_feed
+
+    feed = events_feed(spark, "/root/testdata/sf0.01").select("seq", "resume_token", "operation_type", "document_key", "cluster_time", "value")
+    spec = sp.stream("s").options(full_document="UPDATE_LOOKUP").on_insert(lambda context: None).build()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = run_keyed(feed, spec, current=lambda: feed.groupBy("document_key").agg(F.max_by("value", "seq").alias("value"))).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 10_000 and len({r.task for r in rows}) == n
+    assert len({(r.document_key, r.task) for r in rows}) == 150  # a key's events meet in one task
+
+
 def test_events_out_of_order_are_an_error(spark):
     feed = spark.range(20).selectExpr("20 - id AS seq", "cast(id AS string) AS resume_token", "'INSERT' AS operation_type", "id AS document_key", "cast(null AS timestamp_ntz) AS cluster_time").repartitionByRange(4, F.desc("seq"))
     runner = StrictRunner(sp.stream("s").on_insert(lambda document: None).build())

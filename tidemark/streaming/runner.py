@@ -445,7 +445,8 @@ def run_keyed(feed: DataFrame, spec: StreamSpec, partitions: int | None = None,
             names = [f.split()[0] for f in OUTCOME.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
 
-    return prepared.repartition(n, "document_key").sortWithinPartitions("document_key", "seq").mapInArrow(run, OUTCOME)
+    # By a hash of the key: a join has dealt rows by the key itself already, and Spark would take its partitions, merged by bytes, for these.
+    return prepared.repartition(n, F.xxhash64("document_key")).sortWithinPartitions("document_key", "seq").mapInArrow(run, OUTCOME)
 
 
 def settled_prefix(outcomes: DataFrame) -> DataFrame:
