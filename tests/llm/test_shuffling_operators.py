@@ -6,7 +6,10 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -222,6 +225,28 @@ def test_overlapping_passages(spark):
     assert collected(out, "doc_id", "n_words", "n_removed", "kept_sha256") == removed(rows)
 
 
+def test_substring_duplicates_write_one_table(spark, docs):
+    folder = Path(urlparse(joins.shared_folder(spark)).path)
+    before = set(folder.iterdir())
+    assert substring_dedup.remove_repeats(docs).count() == docs.count()
+    (new,) = set(folder.iterdir()) - before  # each file that an executor writes may start a process
+    assert new.name.startswith("rows-")
+
+
+def test_substring_duplicates_leave_no_shuffle_files(spark, docs):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for d in manager.localDirs() for f in Path(d.toString()).rglob("shuffle_*.data")}
+    docs.count()
+    before = shuffles()
+    out = substring_dedup.remove_repeats(docs)  # its first table is written, nothing else has run
+    deadline = time.time() + 10
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert out.count() == docs.count()
+
+
 def test_other_slices_are_an_error():
     table = pa.table({"slice": [1], "rows": [substring_dedup.packed(pa.table({"doc_id": [1], "text": ["a b"]}))]})
     answers = pa.table({c: pa.array([], pa.int64()) for c in ("slice", "key", "least", "splits")})

@@ -14,6 +14,10 @@ windows have equal anchors. Neighbouring windows with one anchor form a run, whi
    matching statistics; a match of WINDOW words has the answer at the state of its last WINDOW words.
 4. Slices mark the windows whose answer is smaller than their doc_id, and remove the maximal covered spans.
 
+Only what the slices send and keep after step 2 is written to files, and the shuffles before it are removed then; all else is
+shuffled from step to step. Files are dear where Hadoop's local file system lacks its native library: it starts a process for
+each one's permissions, which seems to hold the executor's whole memory once more until it has begun.
+
 Rows of a slice that share a string count once, so no string, however common, gives more rows than there are slices.
 Answers return by slice. A slice's id is a hash of its rows; a scan that cut slices differently would find no answers and is an error.
 
@@ -30,13 +34,14 @@ from itertools import compress, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.automaton import SuffixAutomaton
-from tidemark.llm.joins import stored, written
+from tidemark.llm.joins import shuffles_removed, written
 from tidemark.llm.textkit import BLANKS, Words, grams, map_slices, mix, ranges, raw_bytes, text_of
 
 WINDOW, GRAM = 13, 5
@@ -163,8 +168,9 @@ def meet(listed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "slice long, key long, least long, splits long")
 
 
-OUTCOME = "kind string, slice long, rows binary, doc_id long, text string, n_words long, n_removed long, kept_sha256 string, anchor long, part long, key long, least long, several boolean"
-_EMPTY = {"kind": pa.string(), "slice": pa.int64(), "rows": pa.binary(), "doc_id": pa.int64(), "text": pa.string(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "anchor": pa.int64(), "part": pa.int64(), "key": pa.int64(), "least": pa.int64(), "several": pa.bool_()}
+OUTCOME = "kind string, slice long, rows binary, text string, anchor long, part long, key long, least long, several boolean"
+_EMPTY = {"kind": pa.string(), "slice": pa.int64(), "rows": pa.binary(), "text": pa.string(), "anchor": pa.int64(), "part": pa.int64(), "key": pa.int64(), "least": pa.int64(), "several": pa.bool_()}
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def outcome(kind: str, n: int, **columns: pa.Array) -> pa.Table:
@@ -181,7 +187,7 @@ def kept_words(text: str, covered: np.ndarray) -> tuple[int, int, str]:
 def finished(doc_id: list, texts: list[str], covered: list[np.ndarray]) -> pa.Table:
     rows = [kept_words(t, c) for t, c in zip(texts, covered, strict=True)]
     n_words, n_removed, digest = zip(*rows, strict=True) if rows else ((), (), ())
-    return outcome("done", len(rows), doc_id=pa.array(doc_id, pa.int64()), n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()), kept_sha256=pa.array(digest, pa.string()))
+    return pa.table({"doc_id": pa.array(doc_id, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
 
 
 def packed(rows: pa.Table) -> bytes:
@@ -198,9 +204,9 @@ def unpacked(values: list[bytes]) -> pa.Table:
 
 
 def first_pass(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """Finish documents whose windows are all answered; ask for the others."""
+    """Finish documents whose windows are all answered; ask for the others. Both go on in one value of the slice."""
     if not docs.num_rows:
-        return outcome("done", 0)
+        return outcome("open", 0)
     name = docs.column("slice")[0].as_py()
     docs = unpacked(docs.column("rows").to_pylist())
     keys = answers.column("key").to_numpy(zero_copy_only=False)
@@ -224,12 +230,10 @@ def first_pass(docs: pa.Table, answers: pa.Table) -> pa.Table:
     parts = [covered[a:b] for a, b in zip(runs.words.offsets[:-1].tolist(), runs.words.offsets[1:].tolist(), strict=True)]
     doc_ids, values = docs.column("doc_id").to_pylist(), texts.to_pylist()
     pick = lambda rows, of: [rows[i] for i in np.flatnonzero(of).tolist()]
-    out = [finished(pick(doc_ids, ~waiting), pick(values, ~waiting), pick(parts, ~waiting))]
-    n = int(waiting.sum())
+    done = finished(pick(doc_ids, ~waiting), pick(values, ~waiting), pick(parts, ~waiting))
     bits = [np.packbits(c).tobytes() for c in pick(parts, waiting)]
-    if n:
-        left = pa.table({"doc_id": pa.array(pick(doc_ids, waiting), pa.int64()), "text": pa.array(pick(values, waiting), pa.string()), "covered": pa.array(bits, pa.binary())})
-        out.append(outcome("open", 1, slice=pa.array([name]), rows=pa.array([packed(left)])))
+    left = pa.table({"doc_id": pa.array(pick(doc_ids, waiting), pa.int64()), "text": pa.array(pick(values, waiting), pa.string()), "covered": pa.array(bits, pa.binary())})
+    out = [outcome("open", 1, slice=pa.array([name]), rows=pa.array([packed(pa.concat_tables([done, left], promote_options="default"))]))]
     whole, cut = np.flatnonzero(asks & (splits[at] == 1)) if len(keys) else own[:0], np.flatnonzero(asks & (splits[at] > 1)) if len(keys) else own[:0]
     window = ranges(runs.first[cut], runs.length[cut]) if len(cut) else np.zeros(0, np.int64)
     run_of = np.repeat(cut, runs.length[cut]) if len(cut) else np.zeros(0, np.int64)
@@ -315,10 +319,14 @@ def match_shards(asks: DataFrame) -> DataFrame:
 
 
 def second_pass(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """Finish the waiting documents of a slice."""
+    """All documents of a slice: those finished before, and the waiting ones, which have a text."""
     if not docs.num_rows:
-        return outcome("done", 0)
+        return finished([], [], [])
     docs = unpacked(docs.column("rows").to_pylist())
+    waits = docs.column("text").is_valid()
+    done, docs = docs.filter(pc.invert(waits)).select(["doc_id", "n_words", "n_removed", "kept_sha256"]), docs.filter(waits)
+    if not docs.num_rows:
+        return done
     texts = text_of(docs.combine_chunks().to_batches()[0])
     runs = Runs(ids_of(docs.column("doc_id")), texts)
     lows = dict(zip(answers.column("key").to_pylist(), answers.column("lows").to_pylist(), strict=True))
@@ -336,7 +344,7 @@ def second_pass(docs: pa.Table, answers: pa.Table) -> pa.Table:
     parts = []
     for a, b, bits in zip(runs.words.offsets[:-1].tolist(), runs.words.offsets[1:].tolist(), docs.column("covered").to_pylist(), strict=True):
         parts.append(covered[a:b] | np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool))
-    return finished(docs.column("doc_id").to_pylist(), texts.to_pylist(), parts)
+    return pa.concat_tables([done, finished(docs.column("doc_id").to_pylist(), texts.to_pylist(), parts)])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -346,11 +354,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def tag(piece: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([slice_id(piece)]), pa.array([packed(pa.table({"doc_id": piece.column("doc_id"), "text": text_of(piece)}))])], ["slice", "rows"])
 
-    answers = stored(meet(list_runs(docs)))
+    answers = meet(list_runs(docs))
     tagged = map_slices(docs, tag, "slice long, rows binary", limit=SLICE)
-    first = written(tagged.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(first_pass, OUTCOME))
-    final = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    found = stored(match_shards(first.where("kind = 'ask'")))
-    waiting = first.where("kind = 'open'").select("slice", "rows")
-    second = waiting.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(second_pass, OUTCOME)
-    return first.where("kind = 'done'").select(final).unionByName(second.select(final))
+    with shuffles_removed(docs.sparkSession):
+        first = written(tagged.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(first_pass, OUTCOME))
+    found = match_shards(first.where("kind = 'ask'"))
+    left = first.where("kind = 'open'").select("slice", "rows")
+    return left.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(second_pass, RESULT)
